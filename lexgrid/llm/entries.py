@@ -31,6 +31,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm.pages import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.col("n_chars").cast("long"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     import public_tokenizers
 
@@ -55,11 +61,28 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm.urls import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrid.llm.language import identify_languages
 
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op5_token_counts, op6_secret_scan, op9_language_id)}
+def op10_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
+
+    from lexgrid.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(vocabulary))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_quality_rules, op3_html_extraction, op5_token_counts, op6_secret_scan, op8_url_filter, op9_language_id, op10_packing)
+}
 ORACLES: dict[str, str] = {}
