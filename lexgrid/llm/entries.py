@@ -61,6 +61,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm.setjoin import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrid.llm.urls import filter_urls
 
@@ -83,6 +89,6 @@ def op10_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_4
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_quality_rules, op3_html_extraction, op5_token_counts, op6_secret_scan, op8_url_filter, op9_language_id, op10_packing)
+    for f in (op1_license_scan, op2_quality_rules, op3_html_extraction, op5_token_counts, op6_secret_scan, op7_ngram_jaccard_join, op8_url_filter, op9_language_id, op10_packing)
 }
 ORACLES: dict[str, str] = {}
