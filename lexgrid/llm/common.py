@@ -108,3 +108,19 @@ def indexed(scratch: Scratch, frame: DataFrame, *keys: str) -> DataFrame:
 
 def _ranges(frame: DataFrame) -> int:
     return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def add_column(frame: DataFrame, inputs: list[str], name: str, ddl: str, start: Callable[[], Callable[..., list]]) -> DataFrame:
+    """``frame`` with one more column, from the ``inputs``' values as Python lists; the
+    other columns pass as they are."""
+    schema = T.StructType([*frame.schema.fields, T.StructField(name, T.DataType.fromDDL(ddl))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = start()
+        for batch in batches:
+            if batch.num_rows:
+                out = pa.array(step(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs)), arrow.field(len(arrow) - 1).type)
+                yield pa.RecordBatch.from_arrays([*batch.columns, out], schema=arrow)
+
+    return frame.mapInArrow(run, schema)

@@ -37,6 +37,12 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.col("n_chars").cast("long"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm.leaks import leak_pairs
+
+    return leak_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     import public_tokenizers
 
@@ -89,6 +95,6 @@ def op10_packing(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_4
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_quality_rules, op3_html_extraction, op5_token_counts, op6_secret_scan, op7_ngram_jaccard_join, op8_url_filter, op9_language_id, op10_packing)
+    for f in (op1_license_scan, op2_quality_rules, op3_html_extraction, op4_decontamination, op5_token_counts, op6_secret_scan, op7_ngram_jaccard_join, op8_url_filter, op9_language_id, op10_packing)
 }
 ORACLES: dict[str, str] = {}
