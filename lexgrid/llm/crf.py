@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 
 
-def hashed(feature: str, size: int) -> int:
-    return zlib.crc32(feature.encode("utf-8", "replace")) % size
-
-
 class LinearChain:
     """Emissions are sums of feature weights; transitions are learned.
 

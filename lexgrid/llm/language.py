@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrid.llm.common import map_rows
-from lexgrid.llm.crf import LinearChain, hashed
+from lexgrid.llm.crf import LinearChain
 
 LETTER = re.compile(r"[^\W\d_]")
 #: Words a chain: longer texts are cut into chains of so many words, none left out.
@@ -19,18 +20,43 @@ CHAIN = 32
 MEMORY = 300_000
 
 
-def features(word: str, lexicon: dict[str, int], size: int, width: int = 24) -> list[int]:
-    """Affixes up to 4, character bigrams and trigrams, single non-ASCII letters, and the
-    lexicon's language; none for a word without letters."""
-    if not LETTER.search(word):
-        return []
-    w = "^" + re.sub(r"^[\W\d_]+|[\W\d_]+$", "", word).lower() + "$"
-    out = {f"p{w[:k]}" for k in (2, 3, 4)} | {f"s{w[-k:]}" for k in (2, 3, 4)}
-    out |= {f"c{c}" for c in w if c > "\x7f"}
-    if w[1:-1] in lexicon:
-        out.add(f"lex{lexicon[w[1:-1]]}")
-    grams = [w[i : i + k] for k in (2, 3) for i in range(1, len(w) - k)]
-    return [hashed(f, size) for f in [*sorted(out), *dict.fromkeys(grams)]][:width]
+#: Letters of a word that features see: all up to so many, else the first and last halves.
+WIDTH = 24
+_STRIP = string.punctuation + string.digits + "«»“”„‘’‚…¡¿–—·"
+_SALTS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
+
+
+def core(word: str) -> str:
+    """The word without marks and digits around it, in lower case."""
+    return word.strip(_STRIP).lower()
+
+
+def features(cores: list[str], lexicon: dict[str, int], size: int) -> np.ndarray:
+    """(words, features) ids, -1 for none: affixes of 1 to 3 letters, letter bigrams and trigrams with word
+    edges, and the lexicon's language. A word without a core has none. All words at once."""
+    edged = [f"^{c}$" if len(c) <= WIDTH - 2 else f"^{c[: WIDTH // 2 - 1]}{c[1 - WIDTH // 2 :]}$" for c in cores]
+    x = np.array(edged, f"U{WIDTH}").view(np.uint32).reshape(len(edged), WIDTH).astype(np.uint64)
+    n = np.fromiter(map(len, edged), np.int64, len(edged))
+    some = n > 2
+
+    def mixed(kind: int, letters: list[np.ndarray], there: np.ndarray) -> np.ndarray:
+        h = np.full(letters[0].shape, kind + 1, np.uint64)
+        for c, salt in zip(letters, _SALTS):
+            h = (h ^ c) * np.uint64(salt)
+            h ^= h >> np.uint64(17)
+        return np.where(there, (h % np.uint64(size)).astype(np.int64), -1)
+
+    every = np.arange(len(edged))
+    cols = []
+    for k in (2, 3, 4):
+        cols.append(mixed(k, [x[:, i] for i in range(k)], some & (n >= k))[:, None])
+        cols.append(mixed(10 + k, [x[every, np.maximum(n - k + i, 0)] for i in range(k)], some & (n >= k))[:, None])
+    at = np.arange(WIDTH)[None, :]
+    for k in (2, 3):
+        cols.append(mixed(20 + k, [x[:, i : WIDTH - k + 1 + i] for i in range(k)], some[:, None] & (at[:, : WIDTH - k + 1] + k <= n[:, None])))
+    lex = np.fromiter((lexicon.get(c, -1) for c in cores), np.int64, len(cores))
+    cols.append(np.where((lex >= 0) & some, size + lex, -1)[:, None])
+    return np.concatenate(cols, 1)
 
 
 class WordTagger:
@@ -41,13 +67,6 @@ class WordTagger:
         self.known: dict[str, int] = {}
         self.pool = np.zeros((1024, len(langs)), np.float32)
 
-    def units(self, words: list[str]) -> np.ndarray:
-        out = np.full((len(words), 24), -1, np.int64)
-        for i, w in enumerate(words):
-            f = features(w, self.lexicon, self.size)
-            out[i, : len(f)] = f
-        return out
-
     def _emissions(self, words: list[str]) -> np.ndarray:
         """Of running words; each distinct word is looked at once."""
         known = self.known
@@ -58,7 +77,9 @@ class WordTagger:
             n = len(known)
             if n + len(new) > len(self.pool):
                 self.pool = np.vstack([self.pool[:n], np.zeros((n + 2 * len(new), len(self.langs)), np.float32)])
-            self.pool[n : n + len(new)] = self.chain.emissions(self.units(new))
+            for i in range(0, len(new), 20_000):
+                some = new[i : i + 20_000]
+                self.pool[n + i : n + i + len(some)] = self.chain.emissions(features([core(w) for w in some], self.lexicon, self.size))
             known.update(zip(new, range(n, n + len(new)), strict=True))
         return self.pool[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
@@ -85,7 +106,7 @@ class WordTagger:
         return out / np.maximum(out.sum(1, keepdims=True), 1e-9)
 
 
-def train(samples: list[tuple[str, str]], size: int = 1 << 15, chains_each: int = 24, rounds: int = 40) -> WordTagger | None:
+def train(samples: list[tuple[str, str]], size: int = 1 << 16, chains_each: int = 10, rounds: int = 40) -> WordTagger | None:
     """From (text, language) rows. Of a long text, ``chains_each`` chains spread over it count."""
     langs = sorted({lang for _, lang in samples})
     if not langs:
@@ -95,7 +116,7 @@ def train(samples: list[tuple[str, str]], size: int = 1 << 15, chains_each: int
     for text, lang in samples:
         words = text.split()
         for w in words:
-            by_lang[re.sub(r"^[\W\d_]+|[\W\d_]+$", "", w).lower()][lang] += 1
+            by_lang[core(w)][lang] += 1
         chains = [words[s : s + CHAIN] for s in range(0, len(words), CHAIN)]
         for c in chains[:: max(1, -(-len(chains) // chains_each))]:
             seqs.append((c, langs.index(lang)))
@@ -104,14 +125,14 @@ def train(samples: list[tuple[str, str]], size: int = 1 << 15, chains_each: int
         (top, n), total = c.most_common(1)[0], sum(c.values())
         if w and total >= 5 and n >= 0.9 * total:
             lexicon[w] = langs.index(top)
-    chain = LinearChain(size, len(langs))
+    chain = LinearChain(size + len(langs), len(langs))
     tagger = WordTagger(langs, lexicon, chain, size)
     order: dict[str, int] = {}
     rows = np.array([order.setdefault(w, len(order)) for c, _ in seqs for w in c], np.int64)
     if len(rows):
         lengths = np.array([len(c) for c, _ in seqs])
         labels = np.repeat([k for _, k in seqs], lengths)
-        chain.fit(tagger.units(list(order)), rows, labels, lengths, rounds)
+        chain.fit(features([core(w) for w in order], lexicon, size), rows, labels, lengths, rounds)
     return tagger
 
 
