@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrid.llm.common import map_rows
+from lexgrid.llm.common import add_column
 from lexgrid.llm.crf import LinearChain
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -149,32 +149,37 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     return docs.select(id_col, F.col(text_col).alias("_text"), F.col(lang_col).alias("_l")).join(F.broadcast(chosen), id_col).filter("_l = _lang").select("_text", "_lang")
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, train_docs: DataFrame | None = None) -> DataFrame:
-    """(id, held_out, lang_pred, score) of every row.
-
-    The model learns from at most ``per_lang`` labelled rows of each language that aren't
-    held out (of ``train_docs``, or ``docs``), the one bound there is. Word labels come from forward-backward over
-    chains of affix, n-gram and lexicon features; the language with the largest mean
-    probability over all words of the whole text wins, ties to the alphabetically first, and that
-    mean is the score. ``und`` with score 0 if the text is null, empty or has no letter, or if
-    nothing could be learned. A null id is not held out; repeated rows are predicted each; an
-    empty table gives an empty result; other columns are ignored."""
-    kind = dict(docs.dtypes)[id_col]
+def tag_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, train_docs: DataFrame | None = None, name: str = "language") -> DataFrame:
+    """``docs`` with one more column: a struct of ``lang`` and ``score``, as in :func:`identify_languages`."""
     samples = [(r["_text"], r["_lang"]) for r in training_rows(docs if train_docs is None else train_docs, id_col, text_col, lang_col, per_lang).collect()]
     model = train(sorted(samples))
 
     def start():
-        def step(ids, held, text):
-            best, score = ["und"] * len(ids), [0.0] * len(ids)
+        def step(text):
+            text = [t or "" for t in text]
+            out = [{"lang": "und", "score": 0.0} for _ in text]
             if model:
                 share = model.shares(text)
                 for i, t in enumerate(text):
                     if LETTER.search(t) and share[i].sum() > 0:
-                        best[i] = model.langs[int(share[i].argmax())]
-                        score[i] = float(min(1.0, share[i].max()))
-            return [ids, held, best, score]
+                        out[i] = {"lang": model.langs[int(share[i].argmax())], "score": float(min(1.0, share[i].max()))}
+            return out
 
         return step
 
-    rows = docs.select(F.col(id_col), held_out(id_col).alias("_held"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return map_rows(rows, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double", start)
+    return add_column(docs, [text_col], name, "struct<lang:string,score:double>", start)
+
+
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, train_docs: DataFrame | None = None) -> DataFrame:
+    """(id, held_out, lang_pred, score) of every row.
+
+    The model learns from at most ``per_lang`` labelled rows of each language that aren't
+    held out (of ``train_docs``, or ``docs``), the one bound there is. Word labels come from forward-backward over
+    chains of affix, n-gram and lexicon features; the language with the largest mean
+    probability over all words of the whole text wins, ties to the alphabetically first, and that
+    mean is the score. ``und`` with score 0 if the text is null, empty or has no letter, or if
+    nothing could be learned. A null id is not held out; repeated rows are predicted each; an
+    empty table gives an empty result; other columns are ignored."""
+    own = docs.select(F.col(id_col), held_out(id_col).alias("_held"), F.col(text_col).alias("_text"))
+    tagged = tag_languages(own, id_col, "_text", lang_col, per_lang, docs.withColumnRenamed(text_col, "_text") if train_docs is None else train_docs.withColumnRenamed(text_col, "_text"), "_tag")
+    return tagged.select(F.col(id_col), F.col("_held").alias("held_out"), F.col("_tag.lang").alias("lang_pred"), F.col("_tag.score").alias("score"))

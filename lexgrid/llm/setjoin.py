@@ -113,14 +113,14 @@ def summarise(rows: DataFrame, id_col: str, kind: str, size: int, num: int, den:
     def start():
         shingler, table = Shingler(size), unfold(data)
 
-        def step(ids, text):
+        def step(ids, text, texts_hash):
             sets = shingler.sets(text)
             keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            return [ids, [len(s) for s in sets], [(k >> 64) - (1 << 63) for k in keys], [(k & ((1 << 64) - 1)) - (1 << 63) for k in keys], [prefix(s, table, num, den) for s in sets]]
+            return [ids, [len(s) for s in sets], [(k >> 64) - (1 << 63) for k in keys], [(k & ((1 << 64) - 1)) - (1 << 63) for k in keys], [prefix(s, table, num, den) for s in sets], texts_hash]
 
         return step
 
-    return map_rows(rows, f"_id {kind}, _n long, _hi long, _lo long, _prefix array<long>", start)
+    return map_rows(rows.withColumn("_h", F.xxhash64("_text")), f"_id {kind}, _n long, _hi long, _lo long, _prefix array<long>, _h long", start)
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, size: int, scratch: Scratch) -> DataFrame:
@@ -156,8 +156,8 @@ def sizes_fit(n_a, n_b, num: int, den: int) -> F.Column:
     return (den * F.least(n_a, n_b) >= num * F.greatest(n_a, n_b))
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", stars: int = 3) -> DataFrame:
-    """(id, n_shingles, component_id) of every row: sets of ``size`` words link where den * intersection
+def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", stars: int = 3, with_hash: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id[, text_hash]) of every row: sets of ``size`` words link where den * intersection
     >= num * union, and a component's id is the smallest id that links reach.
 
     1. Equal sets become one node. Nodes post a prefix of their shingles, rarest first.
@@ -189,9 +189,28 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
         placed = nodes.select("_hi", "_lo", "node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         ids = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
         final = scratch.keep(placed.join(ids, "comp").select("_hi", "_lo", "component_id"))
-    alone = kept.filter("_n = 0").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_id").alias("component_id"))
-    rest = kept.filter("_n > 0").select("_hi", "_lo", "_id", "_n").join(final, ["_hi", "_lo"]).select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), "component_id")
-    return rest.unionByName(alone)
+    more = [F.col("_h").alias("text_hash")] if with_hash else []
+    alone = kept.filter("_n = 0").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_id").alias("component_id"), *more)
+    rest = kept.filter("_n > 0").select("_hi", "_lo", "_id", "_n", "_h").join(final, ["_hi", "_lo"])
+    return rest.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), "component_id", *more).unionByName(alone)
+
+
+def drop_near_copies(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one of the smallest id (ties: by the text's
+    hash, nulls last), and every row without words. Of rows that agree in id and text one stays."""
+    scratch = Scratch(docs.sparkSession)
+    placed = scratch.keep(jaccard_components(docs, size, num, den, id_col, text_col, with_hash=True))
+    first = F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))
+    with_words = placed.filter("n_shingles > 0")
+    winners = with_words.groupBy("component_id").agg(F.min(first).alias("w")).select(F.col("w.i").alias("_i"), F.col("w.h").alias("_h"))
+    winners = winners.unionByName(placed.filter("n_shingles = 0").select(F.col(id_col).alias("_i"), F.col("text_hash").alias("_h")).distinct())
+    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    kept = docs.join(winners, docs[id_col].eqNullSafe(F.col("_i")) & (own == F.col("_h")), "left_semi")
+    repeated = with_words.groupBy(id_col, "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
+    if repeated.isEmpty():
+        return kept
+    mark = kept.withColumn("_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return mark.dropDuplicates([id_col, "_own"]).drop("_own")
 
 
 def _links(docs, id_col, text_col, nodes, size, num, den, stars, scratch) -> DataFrame | None:
