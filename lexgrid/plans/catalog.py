@@ -176,12 +176,12 @@ count(*) AS n_edges, count(DISTINCT (src, dst)) AS n_pairs, count(DISTINCT src)
 
 
 def orphans(spark, sf_dir):
-    """Customers as vertices, their orders as edges."""
-    owners = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return graph.orphans(owners, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (-F.col("o_orderkey")).alias("dst")))
+    """Documents as vertices, their labels as edges."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return graph.orphans(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("src"), (-1 - F.col("quality")).alias("dst")))
 
 
-SQL["orphans"] = "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+SQL["orphans"] = "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
 
 
 def top_degree(spark, sf_dir):
