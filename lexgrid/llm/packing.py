@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import regex
@@ -20,15 +19,15 @@ MEMORY = 600_000
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-_TOUCHING = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
+_MARKS = ".,;:!?"
+_ENCODERS: dict[str, "WordEncoder"] = {}
 
 
-def parted(text: str) -> str:
-    """Lower case, and full stops and commas apart where they are pieces of their own: fewer distinct words."""
-    if "<|" in text:
-        return text
-    text = text.replace("Σ", "σ").lower()
-    return text if _TOUCHING.search(text) else text.replace(".", " . ").replace(",", " , ")
+def encoder(path: str) -> "WordEncoder":
+    """A worker's encoder, which later tasks of the worker find warm."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 class WordEncoder:
@@ -45,6 +44,7 @@ class WordEncoder:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.mark = {m: self.library.encode(m, add_special_tokens=False).ids[0] for m in _MARKS}
         self._forget()
 
     def _forget(self) -> None:
@@ -54,25 +54,54 @@ class WordEncoder:
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
     def _learn(self, words: list[str]) -> None:
-        pieces = self.pieces
-        split = [PATTERN.findall(w.replace("Σ", "σ").lower()) for w in words]
-        new = list(dict.fromkeys(p for w in split for p in w if p not in pieces))
-        for a in range(0, len(new), 2000):
-            some = new[a : a + 2000]
-            got = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
-            last = np.flatnonzero(self.ends[got]) + 1 if len(got) else []
+        """Words of letters alone are pieces, so their ids are those of all in one go, parted after
+        each end; a word with one mark behind it has the word's ids and the mark's."""
+        marked, rest, plain = [], [], {}
+        for w in words:
+            if w.isalpha():
+                plain[w] = None
+            elif w[-1] in _MARKS and w[:-1].isalpha():
+                marked.append(w)
+                plain[w[:-1]] = None
+            else:
+                rest.append(w)
+        known = self.known
+        new = [w for w in plain if w not in known]
+        for a in range(0, len(new), 5000):
+            some = new[a : a + 5000]
+            flat = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[flat]) + 1
             if len(last) == len(some):
-                got = got.tolist()
-                pieces.update((p, got[i:j]) for p, i, j in zip(some, [0, *last[:-1]], last, strict=True))
-            else:  # a piece that isn't one on its own
-                pieces.update((p, self.library.encode(p, add_special_tokens=False).ids) for p in some)
-        ids = [[x for p in w for x in pieces[p]] for w in split]
-        if any(s[0] in w for w in words for s in self.specials[:1]):
-            for k, w in enumerate(words):
-                if any(s in w for s in self.specials):
-                    ids[k] = self.library.encode(w, add_special_tokens=False).ids
+                self._add(flat, np.diff(last, prepend=0), some)
+            else:  # a word that isn't a piece after all
+                self._add(*self._mixed(some), some)
+        if marked:
+            at = np.fromiter((known[w[:-1]] for w in marked), np.int64, len(marked))
+            sizes = self.size[at] + 1
+            ends = np.cumsum(sizes)
+            flat = self.pool[np.minimum(np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(int(ends[-1])), len(self.pool) - 1)]
+            flat[ends - 1] = [self.mark[w[-1]] for w in marked]
+            self._add(flat, sizes, marked)
+        if rest:
+            self._add(*self._mixed(rest), rest)
+
+    def _mixed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces, encode = self.pieces, self.library.encode
+        ids = []
+        for w in words:
+            if any(s in w for s in self.specials):
+                ids.append(encode(w, add_special_tokens=False).ids)
+                continue
+            own: list[int] = []
+            for p in PATTERN.findall(w.replace("Σ", "σ").lower()):
+                if p not in pieces:
+                    pieces[p] = encode(p, add_special_tokens=False).ids
+                own += pieces[p]
+            ids.append(own)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    def _add(self, flat: np.ndarray, sizes: np.ndarray, words: list[str]) -> None:
         n, top = len(self.known), self.used + len(flat)
         if n + len(words) > len(self.start):
             grow = np.zeros(n + 2 * len(words), np.int64)
@@ -91,8 +120,8 @@ class WordEncoder:
         while i < len(texts):  # some hundred thousand words at once
             own, words, counts = [], [], []
             while i < len(texts) and (not own or len(words) < 100_000):
-                if PLAIN.fullmatch(texts[i]):
-                    w = parted(texts[i]).split()
+                if texts[i].isascii() and texts[i].isprintable() or PLAIN.fullmatch(texts[i]):
+                    w = (texts[i] if "<|" in texts[i] or "Σ" in texts[i] else texts[i].lower()).split()
                     own.append(i)
                     words += w
                     counts.append(len(w))
@@ -102,9 +131,11 @@ class WordEncoder:
             if len(self.known) > MEMORY:
                 self._forget()
             known = self.known
-            if new := [w for w in dict.fromkeys(words) if w not in known]:
-                self._learn(new)
-            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+            if len(new := np.flatnonzero(at < 0)):
+                missed = [words[k] for k in new.tolist()]
+                self._learn(list(dict.fromkeys(missed)))
+                at[new] = np.fromiter(map(known.__getitem__, missed), np.int64, len(missed))
             size = self.size[at]
             ends = np.cumsum(size)
             flat = self.pool[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -122,12 +153,12 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0
     kind = dict(docs.dtypes)[id_col]
 
     def start():
-        encoder = WordEncoder(path)
+        own = encoder(path)
 
         def step(keys, text):
             out: list[list] = [[], [], [], [], []]
             raws = []
-            for key, ids in zip(keys, encoder.ids(text), strict=True):
+            for key, ids in zip(keys, own.ids(text), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for piece, a in enumerate(range(0, len(ids), capacity)):
                     raw = ids[a : a + capacity].tobytes()
