@@ -158,4 +158,4 @@ def html_text(html: Column) -> Column:
 
 def decode_page(data: Column) -> Column:
     """Bytes as UTF-8 if they are that, else as ISO-8859-1, which takes any bytes."""
-    return F.when(F.is_valid_utf8(data.cast("string")), data.cast("string")).otherwise(F.decode(data, F.lit("ISO-8859-1")))
+    return F.when(F.is_valid_utf8(data.cast("string")), data.cast("string")).otherwise(F.decode(data, "ISO-8859-1"))

@@ -31,7 +31,7 @@ def read_regulations(spark: SparkSession, path: str) -> DataFrame:
 def read_eval_items(spark: SparkSession, path: str) -> DataFrame:
     """Blank lines are skipped; keys that the schema doesn't know go to ``extra``."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    known = schemas.EVAL_ITEM.fieldNames()
+    known = T.StructType.fromDDL(schemas.EVAL_ITEM).fieldNames()
     row = lines.select(F.from_json("value", schemas.EVAL_ITEM).alias("r"), F.from_json("value", "map<string,string>").alias("m"))
     return row.select("r.*", F.map_filter("m", lambda k, v: ~k.isin(known)).alias("extra"))
 
