@@ -11,11 +11,11 @@ from lexgrid.llm.common import Scratch, map_rows, texts
 from lexgrid.llm.components import components
 
 #: Slots of the frequency sketch that orders shingles, whatever the corpus's size.
-SLOTS = 1 << 22
+SLOTS = 1 << 20
 #: Shared shingles that a prefix is lengthened for, so that so many must meet.
 MEETS = 3
 #: Words whose hashes a worker remembers; past this it forgets them.
-MEMORY = 500_000
+MEMORY = 300_000
 #: Involved ids up to which they're sent to all executors; beyond, texts are joined by a shuffle.
 SMALL = 300_000
 BLOCK = 128
@@ -69,17 +69,19 @@ def frequency_levels(rows: DataFrame, size: int) -> np.ndarray:
         shingler = Shingler(size)
 
         def step(text):
-            sets = shingler.sets(text)
-            slots = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            token, n = np.unique(slots, return_counts=True)
-            token, n = token[n > 1], n[n > 1]
-            return [_slot(token).astype(np.int64).tolist(), n.tolist()]
+            out: list[list] = [[], []]
+            for i in range(0, len(text), 2500):
+                token, n = np.unique(np.concatenate(shingler.sets(text[i : i + 2500])), return_counts=True)
+                slot, at = np.unique(_slot(token[n > 1]).astype(np.int64), return_inverse=True)
+                out[0] += slot.tolist()
+                out[1] += np.bincount(at, n[n > 1], len(slot)).astype(np.int64).tolist()
+            return out
 
         return step
 
-    counted = map_rows(rows.select("_text"), "slot long, n long", start).groupBy("slot").agg(F.ceil(F.log2(F.sum("n"))).cast("int").alias("level")).toPandas()
+    counted = map_rows(rows.select("_text"), "slot long, n long", start).groupBy("slot").agg(F.ceil(F.log2(F.sum("n"))).cast("int").alias("level")).toArrow()
     levels = np.zeros(SLOTS, np.uint8)
-    levels[counted["slot"].to_numpy(np.int64)] = np.minimum(counted["level"].to_numpy(np.int64), 60) + 1
+    levels[counted["slot"].to_numpy()] = np.minimum(counted["level"].to_numpy(), 60) + 1
     return levels
 
 
