@@ -97,4 +97,27 @@ QUERIES = {
     f.__name__: f
     for f in (op1_license_scan, op2_quality_rules, op3_html_extraction, op4_decontamination, op5_token_counts, op6_secret_scan, op7_ngram_jaccard_join, op8_url_filter, op9_language_id, op10_packing)
 }
-ORACLES: dict[str, str] = {}
+#: DuckDB's SQL for what SQL can express; the tests hold the other queries against brute force.
+ORACLES: dict[str, str] = {
+    "op8_url_filter": r"""
+WITH a AS (SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+b AS (SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS raw, rest FROM a),
+c AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path FROM b),
+d AS (SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+ WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+ WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM c),
+e AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS bad,
+ list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda s: regexp_replace(regexp_replace(s, '^[0-9a-fA-F]{8,}(\.|$)', '{h}\1'), '[0-9]+', '{n}', 'g')) AS segs FROM d),
+paths AS (SELECT host, segs, count(*) AS n, count(bad) AS labels, coalesce(sum(bad), 0) AS blocks FROM e GROUP BY ALL),
+steps AS (SELECT host, segs, n, unnest(segs) AS seg, generate_subscripts(segs, 1) AS d FROM paths),
+named AS (SELECT *, array_to_string(segs[1:d - 1], '/') AS parent FROM steps),
+wide AS (SELECT host, d, parent FROM (SELECT host, d, parent, seg, sum(n) AS n FROM named GROUP BY ALL) GROUP BY ALL HAVING count(*) >= 12 AND count(*) >= 0.3 * sum(n)),
+shown AS (SELECT s.host, s.segs, '/' || string_agg(CASE WHEN w.host IS NULL THEN s.seg ELSE '*' END, '/' ORDER BY s.d) AS template FROM named s LEFT JOIN wide w ON w.host = s.host AND w.d = s.d AND w.parent = s.parent GROUP BY 1, 2),
+sums AS (SELECT p.host, template, sum(labels) AS labels, sum(blocks) AS blocks, regexp_replace(template, '^/[^/]*', '/*') AS tail FROM paths p JOIN shown USING (host, segs) GROUP BY ALL),
+tails AS (SELECT host, tail, sum(labels) AS l, sum(blocks) AS b FROM sums GROUP BY ALL),
+rates AS (SELECT *, CASE WHEN labels >= 8 AND l - labels >= 8 THEN abs(blocks / labels - (b - blocks) / (l - labels)) <= 1.96 * sqrt(b / l * (1 - b / l) * (1 / labels + 1 / (l - labels))) ELSE false END AS alike
+ FROM (SELECT host, template, labels::DOUBLE AS labels, blocks::DOUBLE AS blocks, l::DOUBLE AS l, b::DOUBLE AS b FROM sums JOIN tails USING (host, tail))),
+judged AS (SELECT host, template, round((CASE WHEN alike THEN b ELSE blocks END + 2) / (CASE WHEN alike THEN l ELSE labels END + 4), 6) AS purity FROM rates)
+SELECT page_id, e.host, path, rule, CASE WHEN bad IS NOT NULL THEN CASE bad WHEN 1 THEN 'block' ELSE 'allow' END WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END AS verdict, s.template, purity
+FROM e JOIN shown s ON s.host = e.host AND s.segs = e.segs JOIN judged j ON j.host = s.host AND j.template = s.template""",
+}
