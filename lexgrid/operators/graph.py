@@ -50,7 +50,8 @@ def graph_stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of counts: vertices, edges, distinct pairs, isolated vertices, sources and targets."""
     nodes = vertices.join(degrees(edges), "id", "left").agg(F.count("*").alias("n_vertices"), F.count_if(F.col("degree").isNull()).alias("n_isolated"))
     counts = edges.agg(F.count("*").alias("n_edges"), F.count_distinct("src", "dst").alias("n_pairs"), F.count_distinct("src").alias("n_sources"), F.count_distinct("dst").alias("n_targets"))
-    return nodes.withColumn("_k", F.lit(1)).join(counts.withColumn("_k", F.lit(1)), "_k").drop("_k")  # one row each
+    both = nodes.unionByName(counts, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
 def orphans(vertices: DataFrame, edges: DataFrame) -> DataFrame:
