@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -103,9 +104,27 @@ def _aside(tag: str, attributes: str) -> bool:
     return False
 
 
+#: Equal pairs of lines up to which alignment is exact.
+MATCHES = 4_000_000
+
+
+def _numbered(lines: list[int]) -> list[tuple[int, int]]:
+    seen: Counter = Counter()
+    out = []
+    for x in lines:
+        seen[x] += 1
+        out.append((x, seen[x]))
+    return out
+
+
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b`` (Hunt and Szymanski)."""
-    where: dict[int, list[int]] = {}
+    """Positions in ``a`` of a longest common subsequence with ``b`` (Hunt and Szymanski, whose time goes with
+    the number of equal pairs). Where that passes MATCHES, as lines repeat thousands of times in both,
+    the k-th of equal lines is matched with the k-th alone, all lines still taking part."""
+    in_b = Counter(b)
+    if sum(n * in_b[x] for x, n in Counter(a).items()) > MATCHES:
+        a, b = _numbered(a), _numbered(b)
+    where: dict = {}
     for j, x in enumerate(b):
         where.setdefault(x, []).append(j)
     ends: list[int] = []

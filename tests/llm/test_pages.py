@@ -64,6 +64,11 @@ def test_common_lines():
         assert len(got) == best and _inside([a[i] for i in got], b) and got == sorted(got)
 
 
+def test_common_lines_of_many_repeats():
+    a = [1] * 5000 + [2, 3]
+    assert pages.common_lines(a, a) == list(range(5002)) and pages.common_lines([1] * 3000, [1] * 2500 + [9]) == list(range(2500))
+
+
 def _inside(c, b):
     it = iter(b)
     return all(x in it for x in c)
