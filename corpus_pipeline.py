@@ -12,8 +12,8 @@ from lexgrid.llm.packing import pack_documents
 from lexgrid.llm.secrets import scan_secrets
 from lexgrid.llm.setjoin import drop_near_copies
 
-#: Documents whose best language has less than this mean probability go.
-LEAST_SCORE = 0.5
+#: Documents whose best language has less than this mean probability go; those of two languages stay.
+LEAST_SCORE = 0.35
 VOCABULARY = "word_bpe_49k.json"
 
 

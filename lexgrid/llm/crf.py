@@ -90,8 +90,9 @@ class LinearChain:
             path.append(int(back[t, path[-1]]))
         return np.array(path[::-1])
 
-    def fit(self, units: np.ndarray, rows: np.ndarray, labels: np.ndarray, lengths: np.ndarray, rounds: int = 40, rate: float = 0.5, l2: float = 1e-4) -> "LinearChain":
-        """Maximum likelihood by AdaGrad on the whole sample. ``rows`` are the sequences' units
+    def fit(self, units: np.ndarray, rows: np.ndarray, labels: np.ndarray, lengths: np.ndarray, rounds: int = 40, rate: float = 0.2, l2: float = 1e-4) -> "LinearChain":
+        """Maximum likelihood by AdaGrad on the whole sample; a round that makes the rows' own labels less likely is taken back and
+        the rate halved. ``rows`` are the sequences' units
         one after another, ``labels`` theirs; ``units`` (n, f) has each unit's feature ids."""
         k, total = self.trans.shape[0], max(1, len(rows))
         starts = np.cumsum(lengths) - lengths
@@ -106,8 +107,17 @@ class LinearChain:
         ids = np.where(units < 0, n_features, units).ravel()
         width = units.shape[1]
         sum_w, sum_t = np.full(self.weights.shape, 1e-8), np.full((k, k), 1e-8)
-        for _ in range(rounds):
+        best, kept = -np.inf, None
+        for n in range(rounds + 1):
             prob, both = self.marginals(self.emissions(units)[rows], lengths, pairs=True)
+            likely = float(np.log(prob[np.arange(len(rows)), labels] + 1e-9).mean()) if len(rows) else 0.0
+            if likely < best:
+                self.weights, self.trans, prob, both = kept[0].copy(), kept[1].copy(), kept[2], kept[3]
+                rate /= 2
+            else:
+                best, kept = likely, (self.weights.copy(), self.trans.copy(), prob, both)
+            if n == rounds or rate < 1e-3:
+                break
             diff = gold.copy()
             for c in range(k):
                 diff[:, c] -= np.bincount(rows, prob[:, c], minlength=len(units))

@@ -173,6 +173,16 @@ def test_language_odd(spark, odd):
     assert {r.lang_pred for r in language.identify_languages(frame.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("rounds", [8, 15, 40])
+def test_language_training_is_stable(rounds):
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text", "lang"]).to_pylist()
+    model = language.train([(r["text"], r["lang"]) for r in rows[:300]], rounds=rounds)
+    best = model.shares([r["text"] for r in rows[300:600]]).argmax(1)
+    assert sum(model.langs[k] == r["lang"] for k, r in zip(best, rows[300:600])) >= 294
+
+
 def test_language_code_switching():
     model = language.train([("le la ouèque étionre mentoi " * 30, "fr"), ("the of thing ererandwh thshly " * 30, "en")])
     prob = model.chain.marginals(model._emissions("le la ouèque the of thing".split()), __import__("numpy").array([6]))
