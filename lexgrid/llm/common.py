@@ -19,18 +19,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(frame: DataFrame, ddl: str, start: Callable[[], Callable[..., list]]) -> DataFrame:
+#: Rows and bytes of a batch that are Python values at once.
+ROWS, BYTES = 2000, 8_000_000
+_WARM: dict[str, object] = {}
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        step = max(1, min(ROWS, BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
+def cool() -> None:
+    _WARM.clear()
+
+
+def warm(key: str, make: Callable[[], object]):
+    """What a worker keeps for its next tasks: of one operator at a time."""
+    if key not in _WARM:
+        _WARM.clear()
+        _WARM[key] = make()
+    return _WARM[key]
+
+
+def map_rows(frame: DataFrame, ddl: str, start: Callable[[], Callable[..., list]], keep: bool = False) -> DataFrame:
     """Map Arrow batches of ``frame``: ``start()`` runs once a task and returns a
-    function from the columns (as Python lists) to the output columns (as lists)."""
+    function from the columns (as Python lists) to the output columns (as lists). ``keep``: it uses :func:`warm`."""
     schema = T.StructType.fromDDL(ddl)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            cool()
         step = start()
-        for batch in batches:
-            if batch.num_rows:
-                out = step(*(c.to_pylist() for c in batch.columns))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
+        for batch in parts(batches):
+            out = step(*(c.to_pylist() for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
 
     return frame.mapInArrow(run, schema)
 
@@ -41,7 +66,8 @@ def reduce_rows(frame: DataFrame, ddl: str, reduce: Callable[[Iterator[tuple[lis
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = reduce(tuple(c.to_pylist() for c in b.columns) for b in batches if b.num_rows)
+        cool()
+        out = reduce(tuple(c.to_pylist() for c in b.columns) for b in parts(batches))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
 
     return frame.mapInArrow(run, schema)
@@ -123,10 +149,10 @@ def add_column(frame: DataFrame, inputs: list[str], name: str, ddl: str, start:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         step = start()
-        for batch in batches:
-            if batch.num_rows:
-                out = pa.array(step(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs)), arrow.field(len(arrow) - 1).type)
-                yield pa.RecordBatch.from_arrays([*batch.columns, out], schema=arrow)
+        for batch in parts(batches):
+            out = pa.array(step(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs)), arrow.field(len(arrow) - 1).type)
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], schema=arrow)
 
     return frame.mapInArrow(run, schema)
