@@ -11,7 +11,7 @@ from lexgrid.llm.common import Scratch, map_rows, texts
 from lexgrid.llm.components import components
 
 #: Slots of the frequency sketch that orders shingles, whatever the corpus's size.
-SLOTS = 1 << 20
+SLOTS = 1 << 21
 #: Shared shingles that a prefix is lengthened for, so that so many must meet.
 MEETS = 3
 #: Words whose hashes a worker remembers; past this it forgets them.
@@ -163,11 +163,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     >= num * union, and a component's id is the smallest id that links reach.
 
     1. Equal sets become one node. Nodes post a prefix of their shingles, rarest first.
-    2. Stars: in each list of a shingle and a range of set sizes, nodes are compared with one node of the
-       list, each with the one that it meets most. What is shared with and differs from that node is kept.
-    3. All pairs that meet often enough in prefixes and whose nodes aren't in one component yet are
-       verified. Lists are skipped where one component fills them, and else by blocks of a component and a
-       span of sizes. Pairs with a common star are answered from the two differences alone, others from both sets.
+    2. Stars: a group of similar nodes takes one of them as its star, is compared with it alone, and keeps the differences.
+    3. Members of one star in different components are answered from their differences, which must meet.
+    4. All other pairs that meet often enough in prefixes, are of different stars and aren't in one component
+       yet are verified from both sets. Lists are skipped where one star or component fills them, and by blocks of a star and their sizes.
     No link between components is left out: a pair is skipped only if already joined by verified links.
 
     Null and empty texts have no set, 0 shingles and their own id; a text of fewer words than a shingle is one
@@ -217,25 +216,16 @@ def drop_near_copies(docs: DataFrame, size: int = 5, num: int = 80, den: int = 1
 
 def _links(docs, id_col, text_col, nodes, size, num, den, stars, scratch) -> DataFrame | None:
     """Links (a, b) of nodes that connect all that linked sets connect; None if there are none."""
-    band = F.floor(F.log("n") / float(np.log(den / num) if den > num else 1.0))
     need = F.least(F.lit(MEETS), F.ceil(num * F.col("n") / den).cast("int"))
-    posts = nodes.select("node", "n", need.alias("need"), band.alias("band"), F.explode("prefix").alias("token"))
-    # only what at least two nodes post; one star for each seed, list and span of sizes
+    posts = nodes.select("node", "n", need.alias("need"), F.explode("prefix").alias("token"))
+    # only what at least two nodes post
     wide = posts.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     posts = scratch.keep(posts.join(wide, "token"))
     if posts.isEmpty():
         return None
-    seeds = [F.xxhash64("node", F.lit(s)) for s in range(stars)]
-    hubs = posts.groupBy("token", "band").agg(F.count("*").alias("c"), *(F.min(F.struct(h, F.col("node"), F.col("n"))).alias(f"h{s}") for s, h in enumerate(seeds))).filter("c > 1").drop("c")
-    offered = posts.join(hubs, ["token", "band"]).select("node", "n", F.explode(F.array(*(F.struct(F.lit(s).alias("seed"), F.col(f"h{s}.node").alias("hub"), F.col(f"h{s}.n").alias("hub_n")) for s in range(stars)))).alias("o")).select("node", "n", "o.*")
-    met = (
-        offered.filter((F.col("node") != F.col("hub")) & sizes_fit(F.col("n"), F.col("hub_n"), num, den))
-        .groupBy("seed", "node", "n", "hub", "hub_n").agg(F.count("*").alias("c")).filter((F.col("c") >= MEETS) | (F.least("n", "hub_n") < 4 * MEETS))
-    )
-    best = scratch.keep(met.groupBy("seed", "node").agg(F.max(F.struct("c", "hub", "n", "hub_n")).alias("b")).select("seed", "node", "b.hub", "b.n", "b.hub_n"))
+    best = scratch.keep(_hubs(posts, num, den, stars))
     found: list[DataFrame] = []
-    comps = None
-    sets = differ = None
+    comps = sets = near = None
     keys = nodes.select("node", "_id", "_hi", "_lo")
     if not best.isEmpty():
         wanted = scratch.keep(keys.join(best.select("node").union(best.select("hub")).distinct(), "node"))
@@ -243,28 +233,51 @@ def _links(docs, id_col, text_col, nodes, size, num, den, stars, scratch) -> Dat
         for s in range(stars):
             pairs = best.filter(F.col("seed") == s).drop("seed")
             if comps is not None:
-                pairs = _across(pairs, comps, "node", "hub")
-            pairs = scratch.keep(pairs)
+                pairs = scratch.keep(_across(pairs, comps, "node", "hub"))
             if pairs.isEmpty():
                 continue
             own = pairs.join(sets, "node").withColumnRenamed("set", "own")
             both = own.join(sets.select(F.col("node").alias("hub"), F.col("set").alias("center")), "hub")
-            seen = scratch.keep(
-                both.select("node", "hub", "n", "hub_n", F.array_except("own", "center").alias("plus"), F.array_except("center", "own").alias("minus"))
-                .withColumn("inter", F.col("n") - F.size("plus"))
-            )
-            if differ is None:
-                differ = seen.select("node", "hub", "hub_n", "plus", "minus")
-            good = scratch.keep(seen.filter(linked(F.col("inter"), F.col("n"), F.col("hub_n"), num, den)).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+            seen = both.select("node", "hub", "n", "hub_n", F.array_except("own", "center").alias("plus"), F.array_except("center", "own").alias("minus"))
+            ok = linked(F.col("n") - F.size("plus"), F.col("n"), F.col("hub_n"), num, den)
+            if s == 0:  # what a member and its star don't share, if that is at most half of the member's size
+                seen = scratch.keep(seen.select("node", "hub", "n", "hub_n", ok.alias("ok"), F.concat("plus", "minus").alias("diff")).withColumn("diff", F.when(2 * F.size("diff") <= F.col("n"), F.col("diff"))))
+                near = seen.filter(F.col("diff").isNotNull())
+                good = scratch.keep(seen.filter("ok").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+            else:
+                good = scratch.keep(seen.filter(ok).select(F.col("node").alias("a"), F.col("hub").alias("b")))
             if not good.isEmpty():
                 found.append(good)
                 comps = components(scratch, _all(found))
-    pairs = scratch.keep(_crossing(posts, comps, num, den, scratch))
+    if near is not None:
+        good = scratch.keep(_within(near, comps, num, den, scratch))
+        if not good.isEmpty():
+            found.append(good)
+            comps = components(scratch, _all(found))
+    pairs = scratch.keep(_crossing(posts, comps, near, num, den, scratch))
     if not pairs.isEmpty():
-        found.append(_verify(docs, id_col, text_col, keys, pairs, sets, differ, size, num, den, scratch))
+        found.append(_verify(docs, id_col, text_col, keys, pairs, sets, size, num, den, scratch))
     return _all(found) if found else None
 
 
+def _hubs(posts: DataFrame, num: int, den: int, stars: int) -> DataFrame:
+    """(seed, node, n, hub, hub_n): the star of each node and seed. In each list of a shingle and a span of
+    sizes (two families of spans, half a span apart, so that no group lies on an edge of both), the node of the least seeded hash is
+    offered to the others; a node takes the least of those that it's offered often enough, so that a group takes one star."""
+    x = F.log("n") / float(np.log(den / num)) if den > num else F.col("n").cast("double")
+    spans = F.explode(F.array(2 * F.floor(x), 2 * F.floor(x + 0.5) + 1))
+    lists = posts.select("token", "node", "n", spans.alias("span"))
+    hashes = [F.xxhash64("node", F.lit(s)) for s in range(stars)]
+    least = lists.groupBy("token", "span").agg(F.count("*").alias("c"), *(F.min(F.struct(h.alias("h"), F.col("node"), F.col("n"))).alias(f"h{s}") for s, h in enumerate(hashes))).filter("c > 1").drop("c")
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("seed"), F.col(f"h{s}.h").alias("h"), F.col(f"h{s}.node").alias("hub"), F.col(f"h{s}.n").alias("hub_n")) for s in range(stars))))
+    offered = lists.join(least, ["token", "span"]).select("node", "n", each.alias("o")).select("node", "n", "o.*")
+    met = (
+        offered.filter((F.col("node") != F.col("hub")) & sizes_fit(F.col("n"), F.col("hub_n"), num, den))
+        .groupBy("seed", "node", "n", "h", "hub", "hub_n").agg(F.count("*").alias("c")).filter((F.col("c") >= MEETS) | (F.least("n", "hub_n") < 4 * MEETS))
+    )
+    return met.groupBy("seed", "node").agg(F.min(F.struct("h", "hub", "n", "hub_n")).alias("b")).select("seed", "node", "b.hub", "b.n", "b.hub_n")
+
+
 def _all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -284,23 +297,64 @@ def _across(pairs: DataFrame, comps: DataFrame | None, a: str, b: str) -> DataFr
     return _placed(_placed(pairs, comps, a, "_ca"), comps, b, "_cb").filter("_ca <> _cb").drop("_ca", "_cb")
 
 
-def _crossing(posts: DataFrame, comps: DataFrame | None, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) of nodes in different components that meet often enough."""
-    own = _placed(posts.select("token", "node", "n", "need"), comps, "node", "comp")
+def _within(near: DataFrame, comps: DataFrame | None, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between members of one star in different components, from their differences with it.
+
+    Let d be the size of a member's difference. |a ^ b| = d_a + d_b - 2 o, where o is what the differences share. If both
+    are linked with the star they're in one component; so let a be one that isn't. Then
+    a and b link only if o > num / (den + num) * d_b, and o >= (d_a - c (n_a + n_star)) / (1 + c) for
+    c = (den - num) / (den + num). So rare-first prefixes of their differences must meet, where
+    enough is left of both. Of members whose changes are their own none do, however large the group is."""
+    open_ = near.groupBy("hub").agg(F.min("ok").alias("all_ok")).filter(~F.col("all_ok")).select("hub")
+    members = scratch.keep(_placed(near.join(open_, "hub"), comps, "node", "comp"))
+    d = F.size("diff")
+    own = F.ceil((d * (den + num) - (den - num) * (F.col("n") + F.col("hub_n"))) / (2 * den))
+    each = members.select("hub", "node", "ok", "comp", "n", d.alias("d"), own.alias("own"), F.explode("diff").alias("x"))
+    often = each.groupBy("hub", "x").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = scratch.keep(each.join(often, ["hub", "x"]))
+    # what one member alone has comes first in its prefix and meets nobody
+    ranked = scratch.keep(shared.groupBy("hub", "node", "ok", "comp", "n", "d", "own").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("s")))
+
+    def posted(need, rows: DataFrame, side: str) -> DataFrame:
+        kept = F.greatest(F.lit(0), F.size("s") - F.greatest(F.lit(1), need) + 1).cast("int")
+        names = {"node": side, "comp": f"c_{side}", "n": f"n_{side}", "d": f"d_{side}"}
+        each = rows.select("hub", *(F.col(c).alias(n) for c, n in names.items()), F.size("s").alias("_k"), F.posexplode(F.slice("s", F.lit(1), kept)).alias("_p", "y"))
+        return each.select("hub", *names.values(), F.col("y.x").alias("x"), (F.col("_k") - F.col("_p")).alias(f"rest_{side}"))
+
+    right = posted(F.ceil(num * F.col("d") / (den + num)), ranked, "b")
+    left = posted(F.col("own"), ranked.filter(~F.col("ok")), "a")
+    # at the first element that they share, what is left of either must do
+    least = (F.col("d_a") + F.col("d_b")) * (den + num) - (den - num) * (F.col("n_a") + F.col("n_b"))
+    may = (F.col("c_a") != F.col("c_b")) & (2 * (den + num) * F.least("rest_a", "rest_b") >= least)
+    met = left.join(right, ["hub", "x"]).filter(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = lambda n: members.select(F.col("node").alias(n), F.col("n").alias(f"n_{n}"), F.col("diff").alias(f"diff_{n}"))
+    both = met.join(one("a"), "a").join(one("b"), "b")
+    apart = F.size("diff_a") + F.size("diff_b") - 2 * F.size(F.array_intersect("diff_a", "diff_b"))
+    return both.filter((den + num) * apart <= (den - num) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _crossing(posts: DataFrame, comps: DataFrame | None, near: DataFrame | None, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of nodes in different components and of different stars that meet often enough.
+    A star's members stand in blocks; blocks of one star don't meet, nor blocks whose sizes are too far apart."""
+    own = _placed(posts, comps, "node", "comp")
+    if near is None:
+        own = own.withColumn("star", F.col("node"))
+    else:
+        own = own.join(near.select("node", F.col("hub").alias("star")), "node", "left").withColumn("star", F.coalesce("star", "node"))
     own = scratch.keep(own)
-    several = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    several = own.groupBy("token").agg(F.min("star").alias("s"), F.max("star").alias("t"), F.min("comp").alias("c"), F.max("comp").alias("k")).filter("s <> t and c <> k").select("token")
     open_ = scratch.keep(own.join(several, "token"))
-    counts = open_.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    counts = open_.groupBy("token", "star").agg(F.count("*").alias("c"))
     blocks = scratch.keep(
-        open_.join(counts, ["token", "comp"])
-        .groupBy("token", "comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK)).alias("part"))
-        .agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.sort_array(F.collect_list(F.struct("n", "node", "need"))).alias("items"))
+        open_.join(counts, ["token", "star"])
+        .groupBy("token", "star", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK)).alias("part"))
+        .agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.sort_array(F.collect_list(F.struct("n", "node", "need", "comp"))).alias("items"))
         .drop("part")
     )
-    left = blocks.select("token", *(F.col(c).alias(f"{c}_a") for c in ("comp", "lo", "hi", "items")))
-    right = blocks.select("token", *(F.col(c).alias(f"{c}_b") for c in ("comp", "lo", "hi", "items")))
-    met = left.join(right, "token").filter((F.col("comp_a") < F.col("comp_b")) & (den * F.col("hi_a") >= num * F.col("lo_b")) & (den * F.col("hi_b") >= num * F.col("lo_a")))
-    each = met.select(F.explode("items_a").alias("x"), "items_b").select("x", F.explode("items_b").alias("y")).filter(sizes_fit(F.col("x.n"), F.col("y.n"), num, den))
+    left = blocks.select("token", *(F.col(c).alias(f"{c}_a") for c in ("star", "lo", "hi", "items")))
+    right = blocks.select("token", *(F.col(c).alias(f"{c}_b") for c in ("star", "lo", "hi", "items")))
+    met = left.join(right, "token").filter((F.col("star_a") < F.col("star_b")) & (den * F.col("hi_a") >= num * F.col("lo_b")) & (den * F.col("hi_b") >= num * F.col("lo_a")))
+    each = met.select(F.explode("items_a").alias("x"), "items_b").select("x", F.explode("items_b").alias("y")).filter((F.col("x.comp") != F.col("y.comp")) & sizes_fit(F.col("x.n"), F.col("y.n"), num, den))
     swap = F.col("x.node") > F.col("y.node")
     pick = lambda f, g: F.when(swap, F.col(g)).otherwise(F.col(f))
     return (
@@ -309,21 +363,9 @@ def _crossing(posts: DataFrame, comps: DataFrame | None, num: int, den: int, scr
     )
 
 
-def _verify(docs, id_col, text_col, keys, pairs, sets, differ, size, num, den, scratch) -> DataFrame:
-    """The linked pairs (a, b), from the differences of a common star or from both sets."""
-    done, rest = None, pairs
-    if differ is not None:
-        a = differ.select(F.col("node").alias("a"), F.col("hub").alias("hub_a"), "hub_n", F.col("plus").alias("plus_a"), F.col("minus").alias("minus_a"))
-        b = differ.select(F.col("node").alias("b"), F.col("hub").alias("hub_b"), F.col("plus").alias("plus_b"), F.col("minus").alias("minus_b"))
-        hubs = differ.select("node", "hub")
-        named = pairs.join(hubs.withColumnsRenamed({"node": "a", "hub": "_ha"}), "a", "left").join(hubs.withColumnsRenamed({"node": "b", "hub": "_hb"}), "b", "left")
-        named = scratch.keep(named)
-        same = F.coalesce(F.col("_ha") == F.col("_hb"), F.lit(False))
-        near = named.filter(same).drop("_ha", "_hb")
-        inter = F.col("hub_n") - F.size(F.array_union("minus_a", "minus_b")) + F.size(F.array_intersect("plus_a", "plus_b"))
-        done = near.join(a, "a").join(b, "b").filter(linked(inter, F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
-        rest = scratch.keep(named.filter(~same).drop("_ha", "_hb"))
-    wanted = keys.join(rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct(), "node")
+def _verify(docs, id_col, text_col, keys, pairs, sets, size, num, den, scratch) -> DataFrame:
+    """The linked pairs (a, b), from both sets."""
+    wanted = keys.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node")
     if sets is not None:
         wanted = wanted.join(sets.select("node"), "node", "left_anti")
     wanted = scratch.keep(wanted)
@@ -331,8 +373,5 @@ def _verify(docs, id_col, text_col, keys, pairs, sets, differ, size, num, den, s
     if not wanted.isEmpty():
         more = full_sets(docs, id_col, text_col, wanted, size, scratch)
         whole = more if sets is None else sets.unionByName(more)
-    if whole is not None:
-        both = rest.join(whole.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(whole.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        far = both.filter(linked(F.size(F.array_intersect("set_a", "set_b")), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
-        done = far if done is None else done.unionByName(far)
-    return scratch.keep(done)
+    both = pairs.join(whole.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(whole.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    return scratch.keep(both.filter(linked(F.size(F.array_intersect("set_a", "set_b")), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b"))
