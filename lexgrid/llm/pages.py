@@ -145,15 +145,66 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def shared_lines(own: list[int], kinds: list[str], size: list[int], other: list[int], copy_share: float) -> list[int] | None:
-    """The lines of ``own`` that the neighbour shares and that lie outside an article; None if the
-    two are copies of one another, from which nothing can be told."""
-    same = common_lines(own, other)
+def wanted(kinds: list[str]) -> str:
+    """The kind of the blocks that are a page's text."""
+    return "article" if "article" in kinds else "main" if "main" in kinds else "body"
+
+
+def shared_lines(own: dict, other: dict, copy_share: float) -> list[int] | None:
+    """The text lines of ``own`` that the other page shares; None if the two are copies of one another,
+    from which nothing can be told. An article is aligned with the other's article alone, and is a copy
+    if the shorter of both is shared."""
+    kinds, size = own["kinds"], own["sizes"]
+    if wanted(kinds) == "article":
+        mine, theirs = ([i for i, k in enumerate(x["kinds"]) if k == "article"] for x in (own, other))
+        same = [mine[i] for i in common_lines([own["lines"][i] for i in mine], [other["lines"][i] for i in theirs])]
+        total = min(sum(size[i] for i in mine), sum(other["sizes"][i] for i in theirs))
+        return None if not theirs or sum(size[i] for i in same) > copy_share * total else same
+    same = common_lines(own["lines"], other["lines"])
     if sum(size[i] for i in same) > copy_share * sum(size):
         return None
     return [i for i in same if kinds[i] in ("body", "main")]
 
 
+#: Pages of one group, in the order of hosts and paths, and pages on each side that come with it.
+GROUP, REACH = 256, 4
+#: A line inside an article goes only if the so many nearest articles hold it, or all that there are, at least LEAST.
+WITNESSES, LEAST = 4, 3
+
+
+def _common_path(a: str, b: str) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def article_lines(own: dict, near: list[dict], copy_share: float) -> list[int]:
+    """The lines of ``own``'s article that the nearest articles of its host that aren't copies of it all hold."""
+    found = []
+    for other in near:
+        if (same := shared_lines(own, other, copy_share)) is not None:
+            found.append(set(same))
+            if not same or len(found) == WITNESSES:
+                break
+    return sorted(set.intersection(*found)) if len(found) >= LEAST else []
+
+
+def differences(pages: list[dict], first: int, copy_share: float) -> list[dict]:
+    """What goes from the pages of one group, which starts at ``first``; ``pages`` has those beside it too."""
+    out = []
+    at = {p["idx"]: p for p in pages}
+    for own in pages:
+        if not first <= own["idx"] < first + GROUP:
+            continue
+        near = [x for by in range(1, REACH + 1) for x in (at.get(own["idx"] - by), at.get(own["idx"] + by)) if x and x["host"] == own["host"]]
+        if wanted(own["kinds"]) == "article":
+            gone = article_lines(own, near, copy_share)
+        else:
+            beside = sorted((x for x in near if abs(x["idx"] - own["idx"]) == 1), key=lambda x: -_common_path(x["path"], own["path"]))
+            gone = next((g for x in beside if (g := shared_lines(own, x, copy_share)) is not None), [])
+        if gone:
+            out.append({"host": own["host"], "key": own["key"], "size": own["size"], "gone": gone})
+    return out
+
+
 def split_url(url) -> tuple[F.Column, F.Column]:
     """Host (A-Z lower-cased) and path; both empty for null or no ``://``."""
     u = F.coalesce(url, F.lit(""))
@@ -171,8 +222,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     class or role. If a page has an article, its blocks are the text; else the main element's, else all other blocks.
     Then page differencing: the distinct pages of a host are ordered by path, each is aligned with its nearer neighbour
     (the longer common path, ties to the earlier), line by line as a longest common subsequence, and
-    lines that both hold outside an article are deleted. Neighbours sharing over ``copy_share`` of a page's text are copies and
-    delete nothing. Only line hashes are sorted and joined; a host of any size is dealt by ranges of its paths.
+    lines that both hold are deleted. A line inside an article is deleted if the four nearest articles within
+    four pages on each side hold it (all there are, at least three). Neighbours sharing over ``copy_share`` of a page's text
+    (of the shorter article's) are copies and delete nothing. Only line hashes are sorted and grouped; a host of any size is dealt by ranges of its paths.
 
     Null html gives an empty text, a null url one on the empty host; broken markup is read as far as it
     goes; repeated rows are extracted each and aren't each other's neighbours; an empty table gives an empty
@@ -196,42 +248,25 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     distinct = thin.groupBy("_host", "_key", "_size").agg(F.min(F.struct("_path", "_lines", "_kinds", "_sizes")).alias("_m")).select("_host", "_key", "_size", "_m.*")
     order = scratch.keep(indexed(scratch, distinct, "_host", "_path", "_key", "_size"))
 
-    def beside(by: int) -> DataFrame:
-        return order.select((F.col("idx") + by).alias("idx"), F.col("_host").alias("_h"), F.struct(F.col("_path").alias("path"), F.col("_lines").alias("lines")).alias(f"_n{by}"))
-
-    near = order
-    for by in (1, -1):
-        near = near.join(beside(by).withColumnRenamed("_h", f"_h{by}"), "idx", "left").withColumn(f"_n{by}", F.when(F.col(f"_h{by}") == F.col("_host"), F.col(f"_n{by}"))).drop(f"_h{by}")
+    idx = F.col("idx")
+    page = F.struct("idx", *(F.col(f"_{c}").alias(c) for c in ("host", "path", "key", "size", "lines", "kinds", "sizes")))
+    groups = F.explode(F.array_distinct(F.array(*(F.floor(F.greatest(idx + by, F.lit(0)) / GROUP) for by in (-REACH, 0, REACH)))))
+    grouped = order.select(groups.alias("_group"), page.alias("_page")).groupBy("_group").agg(F.sort_array(F.collect_list("_page")).alias("_pages"))
 
     def differ():
-        def step(host, key, size, path, lines, kinds, sizes, earlier, later):
-            out: list[list] = [[], [], [], []]
-            for h, k, n, p, own, kd, sz, *both in zip(host, key, size, path, lines, kinds, sizes, earlier, later, strict=True):
-                common = lambda x, p=p: next((i for i, (a, b) in enumerate(zip(x["path"], p, strict=False)) if a != b), min(len(x["path"]), len(p)))
-                for other in sorted((x for x in both if x), key=lambda x: -common(x)):
-                    gone = shared_lines(own, kd, sz, other["lines"], copy_share)
-                    if gone is not None:
-                        break
-                else:
-                    gone = []
-                if gone:
-                    for column, value in zip(out, (h, k, n, gone), strict=True):
-                        column.append(value)
-            return out
-
-        return step
+        return lambda group, pages: [[differences(p, g * GROUP, copy_share) for g, p in zip(group, pages, strict=True)]]
 
-    gone = scratch.keep(map_rows(near.select("_host", "_key", "_size", "_path", "_lines", "_kinds", "_sizes", "_n1", "_n-1"), "_host string, _key long, _size int, _gone array<int>", differ))
+    found = map_rows(grouped, "_gone array<struct<host:string,key:long,size:int,gone:array<int>>>", differ)
+    gone = scratch.keep(found.select(F.explode("_gone").alias("_x")).select(*(F.col(f"_x.{c}").alias(f"_{c}") for c in ("host", "key", "size", "gone"))))
 
     def finish():
         def step(ids, url, page, gone):
             out = []
             for p, g in zip(page, gone, strict=True):
                 found = blocks(p)
-                kinds = {k for _, k in found}
-                wanted = "article" if "article" in kinds else "main" if "main" in kinds else "body"
+                kind = wanted([k for _, k in found])
                 drop = set(g or ())
-                out.append(" ".join(t for i, (t, k) in enumerate(found) if k == wanted and i not in drop))
+                out.append(" ".join(t for i, (t, k) in enumerate(found) if k == kind and i not in drop))
             return [ids, url, out, [len(t) for t in out]]
 
         return step

@@ -84,6 +84,19 @@ def test_differencing(spark):
     assert got[20] == f"Site name {own.format(20)} Call us now" and got[21] == got[22] == ""
 
 
+def test_differencing_inside_articles(spark):
+    long = lambda i: f"Story {i} has words of its own, enough of them to be long beside the rest"
+    frame = lambda i, *more: page("<article>", f"<p>{long(i)}</p>", *more, "<p>Get our letter by mail</p></article>")
+    rows = [(i, f"http://h.org/a/{i}", frame(i, "<p>Quoted by two</p>" if i in (2, 3) else "")) for i in range(7)]
+    rows += [(10 + i, f"http://copies.org/{i}", frame(10, f"<p>{i}</p>")) for i in range(7)]  # near copies of one article
+    rows += [(20 + i, f"http://two.org/{i}", frame(20 + i)) for i in range(2)]  # too few to tell
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(7):
+        assert got[i] == long(i) + (" Quoted by two" if i in (2, 3) else "")
+        assert got[10 + i] == f"{long(10)} {i} Get our letter by mail"
+    assert all(got[20 + i] == f"{long(20 + i)} Get our letter by mail" for i in range(2))
+
+
 def test_page_order_is_even(spark):
     from lexgrid.llm.common import Scratch, indexed
 
