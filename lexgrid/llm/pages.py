@@ -152,7 +152,7 @@ def wanted(kinds: list[str]) -> str:
 
 def shared_lines(own: dict, other: dict, copy_share: float) -> list[int] | None:
     """The text lines of ``own`` that the other page shares; None if the two are copies of one another,
-    from which nothing can be told. An article is aligned with the other's article alone, and is a copy
+    from which nothing can be told. Menus and the like don't count. An article is aligned with the other's article alone, and is a copy
     if the shorter of both is shared."""
     kinds, size = own["kinds"], own["sizes"]
     if wanted(kinds) == "article":
@@ -160,10 +160,9 @@ def shared_lines(own: dict, other: dict, copy_share: float) -> list[int] | None:
         same = [mine[i] for i in common_lines([own["lines"][i] for i in mine], [other["lines"][i] for i in theirs])]
         total = min(sum(size[i] for i in mine), sum(other["sizes"][i] for i in theirs))
         return None if not theirs or sum(size[i] for i in same) > copy_share * total else same
-    same = common_lines(own["lines"], other["lines"])
-    if sum(size[i] for i in same) > copy_share * sum(size):
-        return None
-    return [i for i in same if kinds[i] in ("body", "main")]
+    kind = wanted(kinds)
+    same = [i for i in common_lines(own["lines"], other["lines"]) if kinds[i] == kind]
+    return None if sum(size[i] for i in same) > copy_share * sum(n for n, k in zip(size, kinds, strict=True) if k == kind) else same
 
 
 #: Pages of one group, in the order of hosts and paths, and pages on each side that come with it.
@@ -187,22 +186,52 @@ def article_lines(own: dict, near: list[dict], copy_share: float) -> list[int]:
     return sorted(set.intersection(*found)) if len(found) >= LEAST else []
 
 
-def differences(pages: list[dict], first: int, copy_share: float) -> list[dict]:
-    """What goes from the pages of one group, which starts at ``first``; ``pages`` has those beside it too."""
-    out = []
+def _nearer(own: dict, others: list[dict], copy_share: float) -> list[int] | None:
+    """The shared lines of the first that isn't a copy, by the longer common path, ties to the earlier; None if all are."""
+    found = (shared_lines(own, x, copy_share) for x in sorted(others, key=lambda x: -_common_path(x["path"], own["path"])))
+    return next((g for g in found if g is not None), None)
+
+
+def differences(pages: list[dict], first: int, copy_share: float) -> dict:
+    """What goes from the pages of one group, which starts at ``first``; ``pages``, in order, has those beside it too.
+    ``open`` are the pages amid a run of copies that reaches beyond ``pages``, with the bounds of the run
+    that were seen; ``low`` and ``high`` are the group's first and last bound (the first page of a run), -1 for none."""
+    gone, open_ = [], []
     at = {p["idx"]: p for p in pages}
-    for own in pages:
-        if not first <= own["idx"] < first + GROUP:
-            continue
-        near = [x for by in range(1, REACH + 1) for x in (at.get(own["idx"] - by), at.get(own["idx"] + by)) if x and x["host"] == own["host"]]
+    known: dict[int, bool] = {}
+
+    def bound(i: int) -> bool:
+        """Whether page i isn't a copy of the one before it, nor that one of page i."""
+        if i not in known:
+            a, b = at[i - 1], at[i]
+            known[i] = a["host"] != b["host"] or all(shared_lines(x, y, copy_share) is not None for x, y in ((a, b), (b, a)))
+        return known[i]
+
+    bottom, top = pages[0]["idx"], pages[-1]["idx"]
+    mine = [p for p in pages if first <= p["idx"] < first + GROUP]
+    starts = ends = None  # of the run last looked at
+    for own in mine:
+        i = own["idx"]
+        near = [x for by in range(1, REACH + 1) for x in (at.get(i - by), at.get(i + by)) if x and x["host"] == own["host"]]
         if wanted(own["kinds"]) == "article":
-            gone = article_lines(own, near, copy_share)
+            lines = article_lines(own, near, copy_share)
         else:
-            beside = sorted((x for x in near if abs(x["idx"] - own["idx"]) == 1), key=lambda x: -_common_path(x["path"], own["path"]))
-            gone = next((g for x in beside if (g := shared_lines(own, x, copy_share)) is not None), [])
-        if gone:
-            out.append({"host": own["host"], "key": own["key"], "size": own["size"], "gone": gone})
-    return out
+            beside = [x for x in near if abs(x["idx"] - i) == 1]
+            lines = _nearer(own, beside, copy_share)
+            if lines is None and beside:
+                if ends is None or i >= ends:
+                    starts = next((k for k in range(i, bottom, -1) if bound(k)), -1)
+                    ends = next((k for k in range(i + 1, top + 1) if bound(k)), top + 1)
+                if starts < 0 < bottom or ends > top:
+                    open_.append(own | {"from": starts if starts >= 0 or bottom else 0, "to": ends if ends <= top else -1})
+                else:
+                    beyond = [x for k in (starts - 1, ends) if (x := at.get(k)) and x["host"] == own["host"]]
+                    lines = _nearer(own, beyond, copy_share)
+        if lines:
+            gone.append({"host": own["host"], "key": own["key"], "size": own["size"], "gone": lines})
+    inner = [p["idx"] for p in mine if p["idx"] > bottom]
+    low = next((k for k in inner if bound(k)), -1)
+    return {"gone": gone, "open": open_, "low": low, "high": next((k for k in reversed(inner) if bound(k)), -1)}
 
 
 def split_url(url) -> tuple[F.Column, F.Column]:
@@ -224,7 +253,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     (the longer common path, ties to the earlier), line by line as a longest common subsequence, and
     lines that both hold are deleted. A line inside an article is deleted if the four nearest articles within
     four pages on each side hold it (all there are, at least three). Neighbours sharing over ``copy_share`` of a page's text
-    (of the shorter article's) are copies and delete nothing. Only line hashes are sorted and grouped; a host of any size is dealt by ranges of its paths.
+    (of the shorter article's) are copies and delete nothing; a page between two copies is compared with the pages beyond the run of copies. Only line hashes are sorted and grouped; a host of any size is dealt by ranges of its paths.
 
     Null html gives an empty text, a null url one on the empty host; broken markup is read as far as it
     goes; repeated rows are extracted each and aren't each other's neighbours; an empty table gives an empty
@@ -254,10 +283,40 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     grouped = order.select(groups.alias("_group"), page.alias("_page")).groupBy("_group").agg(F.sort_array(F.collect_list("_page")).alias("_pages"))
 
     def differ():
-        return lambda group, pages: [[differences(p, g * GROUP, copy_share) for g, p in zip(group, pages, strict=True)]]
-
-    found = map_rows(grouped, "_gone array<struct<host:string,key:long,size:int,gone:array<int>>>", differ)
-    gone = scratch.keep(found.select(F.explode("_gone").alias("_x")).select(*(F.col(f"_x.{c}").alias(f"_{c}") for c in ("host", "key", "size", "gone"))))
+        return lambda group, pages: [group, *zip(*([d[c] for c in ("gone", "open", "low", "high")] for d in (differences(p, g * GROUP, copy_share) for g, p in zip(group, pages, strict=True))), strict=True)]
+
+    lost = "host:string,key:long,size:int,gone:array<int>"
+    whole = "idx:long,host:string,path:string,key:long,size:int,lines:array<long>,kinds:array<string>,sizes:array<int>"
+    found = scratch.keep(map_rows(grouped, f"_group long, _gone array<struct<{lost}>>, _open array<struct<{whole},from:long,to:long>>, _low long, _high long", differ))
+    flat = lambda rows: rows.select(*(F.col(f"_x.{c}").alias(f"_{c}") for c in ("host", "key", "size", "gone")))
+    gone = flat(found.select(F.explode("_gone").alias("_x")))
+    inside = found.select("_group", F.explode("_open").alias("_x"))
+    if not inside.isEmpty():  # runs of copies over more than a group: their bounds by group, one entry for each
+        bounds = [(r["_group"], r["_low"], r["_high"]) for r in found.select("_group", "_low", "_high").collect()]
+        bounds.sort()
+        before, after, last, following = {}, {}, 0, -1
+        for g, _, high in bounds:
+            before[g] = last
+            last = high if high >= 0 else last
+        for g, low, _ in reversed(bounds):
+            after[g] = following
+            following = low if low >= 0 else following
+        carried = spark.createDataFrame([(g, before[g], after[g]) for g, *_ in bounds], "_group long, _before long, _after long")
+        ends = inside.join(F.broadcast(carried), "_group").select(
+            "_x", (F.when(F.col("_x.from") >= 0, F.col("_x.from")).otherwise(F.col("_before")) - 1).alias("_l"), F.when(F.col("_x.to") >= 0, F.col("_x.to")).otherwise(F.col("_after")).alias("_r")
+        )
+        for c in ("_l", "_r"):
+            ends = ends.join(order.select(idx.alias(c), page.alias(f"{c}p")), c, "left")
+
+        def beyond():
+            def step(own, left, right):
+                lines = [_nearer(o, [x for x in both if x and x["host"] == o["host"]], copy_share) for o, *both in zip(own, left, right, strict=True)]
+                return [[{"host": o["host"], "key": o["key"], "size": o["size"], "gone": g} if g else None for o, g in zip(own, lines, strict=True)]]
+
+            return step
+
+        gone = gone.unionByName(flat(map_rows(ends.select("_x", "_lp", "_rp"), f"_x struct<{lost}>", beyond).filter("_x is not null")))
+    gone = scratch.keep(gone)
 
     def finish():
         def step(ids, url, page, gone):

@@ -97,6 +97,20 @@ def test_differencing_inside_articles(spark):
     assert all(got[20 + i] == f"{long(20 + i)} Get our letter by mail" for i in range(2))
 
 
+def test_differencing_beyond_copies(spark):
+    menu = "<nav>" + "".join(f"<p>Menu entry {i} of the template that all pages have</p>" for i in range(20)) + "</nav>"
+    own = lambda i: f"Words of page {i} alone, some more of them than the template's"
+    rows = [(i, f"http://menus.org/{i}", page(menu, "<p>Site name</p>", f"<p>{own(i)}</p>")) for i in range(3)]
+    for host, n in (("run", 5), ("long", 700)):  # copies between two other pages
+        mid = lambda i: f"<p>{own('x')}, and a few more of these</p><p>No {i}</p>"
+        bodies = [f"<p>{own('a')}</p>", *(mid(i) for i in range(n)), f"<p>{own('z')}</p>"]
+        rows += [(1000 * (1 + (host == "long")) + i, f"http://{host}.org/{i:04}", page("<p>Site name</p>", b)) for i, b in enumerate(bodies)]
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and all(got[i] == own(i) for i in range(3))
+    assert not [i for i, t in got.items() if "Site name" in t]
+    assert all(got[b + 1 + i] == f"{own('x')}, and a few more of these No {i}" for b, n in ((1000, 5), (2000, 700)) for i in range(n))
+
+
 def test_page_order_is_even(spark):
     from lexgrid.llm.common import Scratch, indexed
 
