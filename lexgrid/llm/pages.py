@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import html
+import math
 import re
-from bisect import bisect_left
-from collections import Counter
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -104,44 +103,38 @@ def _aside(tag: str, attributes: str) -> bool:
     return False
 
 
-#: Equal pairs of lines up to which alignment is exact.
-MATCHES = 4_000_000
-
-
-def _numbered(lines: list[int]) -> list[tuple[int, int]]:
-    seen: Counter = Counter()
-    out = []
-    for x in lines:
-        seen[x] += 1
-        out.append((x, seen[x]))
-    return out
-
-
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b`` (Hunt and Szymanski, whose time goes with
-    the number of equal pairs). Where that passes MATCHES, as lines repeat thousands of times in both,
-    the k-th of equal lines is matched with the k-th alone, all lines still taking part."""
-    in_b = Counter(b)
-    if sum(n * in_b[x] for x, n in Counter(a).items()) > MATCHES:
-        a, b = _numbered(a), _numbered(b)
-    where: dict = {}
-    for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
-    ends: list[int] = []
-    links: list[tuple] = []
+    """Positions in ``a`` of a longest common subsequence with ``b``, in bits: after each line of ``b`` the zeros of a row are the
+    positions where the length grows. Of the rows every k-th is kept, and those between are made again on the way back, so that
+    pages of any length are aligned exactly, and by one method."""
+    masks: dict[int, int] = {}
     for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            elif ends[k] > j:
-                ends[k], links[k] = j, link
-    out, link = [], links[-1] if links else None
-    while link:
-        out.append(link[0])
-        link = link[1]
+        masks[x] = masks.get(x, 0) | 1 << i
+    b = [m for x in b if (m := masks.get(x))]
+    full = (1 << len(a)) - 1
+
+    def rows(s: int, some: list[int]) -> list[int]:
+        out = []
+        for m in some:
+            u = s & m
+            s = ((s + u) | (s - u)) & full
+            out.append(s)
+        return out
+
+    k = max(64, math.isqrt(len(b)))
+    kept = [full]
+    for j in range(0, len(b), k):
+        kept.append(rows(kept[-1], b[j : j + k])[-1])
+    out, end = [], len(a)  # of what lies before ``end`` in a
+    for j in range((len(b) - 1) // k, -1, -1):
+        block = [kept[j], *rows(kept[j], b[j * k : (j + 1) * k])]
+        for t in range(len(block) - 1, 0, -1):
+            end = (~block[t] & ((1 << end) - 1)).bit_length()  # the last line of a that makes it longer
+            if not end:
+                return out[::-1]
+            if block[t - 1] >> (end - 1) & 1:  # not without this line of b
+                end -= 1
+                out.append(end)
     return out[::-1]
 
 

@@ -69,6 +69,21 @@ def test_common_lines_of_many_repeats():
     assert pages.common_lines(a, a) == list(range(5002)) and pages.common_lines([1] * 3000, [1] * 2500 + [9]) == list(range(2500))
 
 
+def test_common_lines_of_many_shifted_repeats():
+    a, b = [1, 2] * 2000, [2] + [1, 2] * 2000  # eight million equal pairs
+    assert pages.common_lines(a, b) == list(range(4000)) and len(pages.common_lines(b, a)) == 4000
+    rng = random.Random(4)
+    a, b = ([rng.randrange(3) for _ in range(n)] for n in (700, 900))  # over many kept rows
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    got = pages.common_lines(a, b)
+    assert len(got) == row[-1] and got == sorted(set(got)) and _inside([a[i] for i in got], b)
+
+
 def _inside(c, b):
     it = iter(b)
     return all(x in it for x in c)
