@@ -20,7 +20,7 @@ CHAIN = 32
 MEMORY = 300_000
 
 
-#: Letters of a word that features see: all up to so many, else the first and last halves.
+#: Letters of a unit with its two edges; longer words are cut into units, see :func:`units`.
 WIDTH = 24
 _STRIP = string.punctuation + string.digits + "«»“”„‘’‚…¡¿–—·"
 _SALTS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
@@ -31,10 +31,25 @@ def core(word: str) -> str:
     return word.strip(_STRIP).lower()
 
 
+def units(text: str) -> list[str]:
+    """The words of a text; one of more than WIDTH - 2 letters, as in scripts without white space, is
+    cut into consecutive units of so many (the last may be shorter), so that every letter is read."""
+    words, most = text.split(), WIDTH - 2
+    if "\u0130" in text:  # the one character that lower case lengthens, by one
+        most //= 2
+    out = []
+    for w in words:
+        if len(w) > most and len(c := core(w)) > WIDTH - 2:
+            out += [c[i : i + WIDTH - 2] for i in range(0, len(c), WIDTH - 2)]
+        else:
+            out.append(w)
+    return out
+
+
 def features(cores: list[str], lexicon: dict[str, int], size: int) -> np.ndarray:
     """(words, features) ids, -1 for none: affixes of 1 to 3 letters, letter bigrams and trigrams with word
     edges, and the lexicon's language. A word without a core has none. All words at once."""
-    edged = [f"^{c}$" if len(c) <= WIDTH - 2 else f"^{c[: WIDTH // 2 - 1]}{c[1 - WIDTH // 2 :]}$" for c in cores]
+    edged = [f"^{c}$" for c in cores]
     x = np.array(edged, f"U{WIDTH}").view(np.uint32).reshape(len(edged), WIDTH).astype(np.uint64)
     n = np.fromiter(map(len, edged), np.int64, len(edged))
     some = n > 2
@@ -86,7 +101,7 @@ class WordTagger:
     def shares(self, texts: list[str]) -> np.ndarray:
         """Each text's mean label probability over its words."""
         out = np.zeros((len(texts), len(self.langs)))
-        words = [t.split() for t in texts]
+        words = [units(t) for t in texts]
         i = 0
         while i < len(words):  # some hundred thousand words at once
             j, n = i, 0
@@ -114,7 +129,7 @@ def train(samples: list[tuple[str, str]], size: int = 1 << 16, chains_each: int
     by_lang: dict[str, Counter] = defaultdict(Counter)
     seqs: list[tuple[list[str], int]] = []
     for text, lang in samples:
-        words = text.split()
+        words = units(text)
         for w in words:
             by_lang[core(w)][lang] += 1
         chains = [words[s : s + CHAIN] for s in range(0, len(words), CHAIN)]
@@ -176,7 +191,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The model learns from at most ``per_lang`` labelled rows of each language that aren't
     held out (of ``train_docs``, or ``docs``), the one bound there is. Word labels come from forward-backward over
     chains of affix, n-gram and lexicon features; the language with the largest mean
-    probability over all words of the whole text wins, ties to the alphabetically first, and that
+    probability over all words of the whole text (units of 22 letters of longer words) wins, ties to the alphabetically first, and that
     mean is the score. ``und`` with score 0 if the text is null, empty or has no letter, or if
     nothing could be learned. A null id is not held out; repeated rows are predicted each; an
     empty table gives an empty result; other columns are ignored."""

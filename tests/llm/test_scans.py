@@ -1,6 +1,7 @@
 """Licences, quality, tokens, secrets and languages against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -198,3 +199,16 @@ def test_repeated_words_many_distinct():
     w = [str(i).encode() for i in range(3000)]
     assert quality.repeated_words(w + w[:3]) == 6 and quality.repeated_words([b"a"] * 4) == 4 and quality.repeated_words([]) == 0
     assert pd.Series(w).nunique() == 3000
+
+
+def test_language_without_white_space():
+    rng = random.Random(6)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    text = lambda letters: "samestart" + "xy" + draw(letters, 300) + "yx" + "sameending."
+    two = [("\u4e00\u4e8c\u4e09\u56db\u4e94", "a"), ("\u3042\u3044\u3046\u3048\u304a", "b")]
+    model = language.train([(text(letters), lang) for letters, lang in two for _ in range(30)])
+    share = model.shares([text(letters) for letters, _ in two for _ in range(10)])
+    assert (share[:10, 0] > 0.8).all() and (share[10:, 1] > 0.8).all()
+    for t in ("a " + "b" * 22 + " " + "c" * 67, "\u0130" * 20, "?" * 40, "", "1" * 30 + "x" * 30):
+        assert "".join(map(language.core, language.units(t))) == "".join(map(language.core, t.split()))
+        assert all(len(language.core(u)) <= 22 for u in language.units(t))
