@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ def filter_urls(
 ) -> DataFrame:
     """(id, host, path, rule, verdict, template, purity) of every row.
 
-    A host's tree has a node for each prefix of its paths' segments, as deep as they go. A
+    A host's tree has a node for each prefix of its paths' segments, with its wildcards set, as deep as they go. A
     segment is a wildcard if its shape varies, or if its parent has at least ``least_distinct`` different children, one for
     each 1/``variety`` pages or fewer. A page's label is ``block`` or ``allow``: the rule's, or that of ``labels``
     (id, blocked boolean). Branches that differ in their first segment alone are merged where their labelled shares of
@@ -60,18 +63,25 @@ def filter_urls(
     paths = scratch.keep(
         shaped.groupBy("_host", "_segs").agg(F.count("*").alias("_n"), F.count("_bad").alias("_labels"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("_blocks"))
     )
-    # children of each node, counted once by value and then by node
-    steps = paths.select("_host", "_segs", "_n", F.posexplode("_segs").alias("_d", "_seg")).withColumn("_parent", F.array_join(F.slice("_segs", F.lit(1), F.col("_d")), "/"))
-    wide = (
-        steps.groupBy("_host", "_d", "_parent", "_seg").agg(F.sum("_n").alias("_n"))
-        .groupBy("_host", "_d", "_parent").agg(F.count("*").alias("_kinds"), F.sum("_n").alias("_n"))
-        .filter((F.col("_kinds") >= least_distinct) & (F.col("_kinds") >= variety * F.col("_n"))).select("_host", "_d", "_parent", F.lit(True).alias("_wide"))
-    )
-    templates = (
-        steps.join(wide, ["_host", "_d", "_parent"], "left")
-        .groupBy("_host", "_segs").agg(F.sort_array(F.collect_list(F.struct("_d", F.when(F.col("_wide"), "*").otherwise(F.col("_seg")).alias("s")))).alias("_t"))
-        .select("_host", "_segs", F.concat(F.lit("/"), F.array_join(F.transform("_t", lambda x: x["s"]), "/")).alias("_template"))
-    )
+    # level by level, children are counted by value and then by node, whose own wildcards are set; a node of
+    # too few paths has no wildcard below it
+    at, ends = paths.select("_host", "_segs", "_n", F.lit("").alias("_parent")), []
+    for d in itertools.count():
+        level = at.withColumn("_seg", F.get("_segs", F.lit(d)))
+        nodes = (
+            level.groupBy("_host", "_parent", "_seg").agg(F.sum("_n").alias("_n"), F.count("*").alias("_paths"))
+            .groupBy("_host", "_parent").agg(F.count("*").alias("_kinds"), F.sum("_n").alias("_n"), F.sum("_paths").alias("_paths")).filter(F.col("_paths") >= least_distinct)
+            .select("_host", "_parent", ((F.col("_kinds") >= least_distinct) & (F.col("_kinds") >= variety * F.col("_n"))).alias("_wide"))
+        )
+        rest = F.array_join(F.slice("_segs", F.lit(d + 1), F.size("_segs") - d), "/")
+        shown = F.when(F.col("_wide").isNull(), rest).when(F.col("_wide"), "*").otherwise(F.col("_seg"))
+        done = F.col("_wide").isNull() | (F.size("_segs") == d + 1)
+        joined = scratch.keep(level.join(nodes, ["_host", "_parent"], "left").select("_host", "_segs", "_n", F.concat("_parent", F.lit("/"), shown).alias("_parent"), done.alias("_done")))
+        ends.append(joined.filter("_done").select("_host", "_segs", F.col("_parent").alias("_template")))
+        at = joined.filter(~F.col("_done")).drop("_done")
+        if at.isEmpty():
+            break
+    templates = functools.reduce(DataFrame.unionByName, ends)
     known = scratch.keep(paths.join(templates, ["_host", "_segs"]))
     by_template = known.groupBy("_host", "_template").agg(*sums).withColumn("_tail", F.regexp_replace("_template", r"^/[^/]*", "/*"))
     tails = by_template.groupBy("_host", "_tail").agg(F.sum("_labels").alias("_all"), F.sum("_blocks").alias("_bad"))

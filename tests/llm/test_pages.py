@@ -171,6 +171,15 @@ def test_url_tree(spark):
     assert {r.purity for r in got} == {round((40 + 2) / (40 + 4), 6)}  # merged: both branches' labels
 
 
+def test_url_tree_nested(spark):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, f"http://n.io/users/{word(i % 20)}/posts/{word(i)}") for i in range(60)] + [(100, "http://n.io/users/" + "x/" * 60)]
+    labels = spark.createDataFrame([(i, True) for i in range(40)], "page_id long, blocked boolean")
+    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), labels=labels).collect()}
+    assert {got[i].template for i in range(60)} == {"/users/*/posts/*"} and all(got[i].verdict == "block" for i in range(60))
+    assert got[100].template == "/users/*/" + "x/" * 59 and got[100].verdict == "allow"
+
+
 def test_url_query_is_native(spark):
     plan = entries.op8_url_filter(spark, SF)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
