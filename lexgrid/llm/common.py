@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lexgrid.scratch import Scratch, clear_scratch, shared_folder  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,41 +77,41 @@ def texts(docs: DataFrame, id_col: str, text_col: str, *more: str, binary: bool
     return docs.select(F.col(id_col), (text.cast("binary") if binary else text).alias("_text"), *(F.col(m) for m in more))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local session without one gets a temporary
-    folder, which goes when the driver ends."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        own = tempfile.mkdtemp(prefix="shared-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        at = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_folder(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def keep(self, frame: DataFrame) -> DataFrame:
-        self.n += 1
-        at = f"{self.root}/{self.n}"
-        frame.write.option("compression", "zstd").parquet(at)
-        kept = self.spark.read.schema(frame.schema).parquet(at)
-        kept._kept_at = at
-        return kept
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete tables that no later step reads."""
-        jvm = self.spark._jvm
-        for f in frames:
-            at = jvm.org.apache.hadoop.fs.Path(f._kept_at)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+def first_rows(frame: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each value of ``by`` (of all, without one) in ``order``: first of every group of tasks, so that no task gets ``n`` of each task."""
+    group = F.spark_partition_id() % 512
+    near = frame.withColumn("_group", group).withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_group").orderBy(*order))).filter(F.col("_n") <= n).drop("_n", "_group")
+    if not by:
+        return near.orderBy(*order).limit(n)
+    return near.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+
+
+def fresh(frame: DataFrame, name: str) -> str:
+    """A column name that ``frame`` doesn't have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hot_keys(scratch: Scratch, rows: DataFrame, keys: str | list[str], most: int) -> DataFrame | None:
+    """The keys with more than ``most`` rows, and how many tasks each is dealt to; None if there are none. It has a row for every ``most``
+    rows at most, and as a written table its size is known, so that Spark decides how to join it."""
+    keys = [keys] if isinstance(keys, str) else keys
+    hot = scratch.keep(rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).filter("_parts > 1"))
+    return None if hot.isEmpty() else hot
+
+
+def dealt(rows: DataFrame, lookup: DataFrame, keys: str | list[str], by: str, hot: DataFrame | None) -> DataFrame:
+    """``rows`` joined with ``lookup`` (a row for each key): those of a hot key are dealt by the hash of ``by``, and its
+    lookup row is repeated for each part."""
+    keys = [keys] if isinstance(keys, str) else keys
+    if hot is None:
+        return rows.join(lookup, keys)
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
 def indexed(scratch: Scratch, frame: DataFrame, *keys: str) -> DataFrame:

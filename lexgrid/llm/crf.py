@@ -30,21 +30,52 @@ class LinearChain:
         out[time, seq], mask[time, seq] = emit, True
         return out, mask
 
-    def marginals(self, emit: np.ndarray, lengths: np.ndarray, pairs: bool = False):
+    def long_marginals(self, emit: np.ndarray, lengths: np.ndarray, step: int = 32) -> np.ndarray:
+        """:meth:`marginals` of sequences of any length, and exactly these. A sequence is cut into spans of ``step`` units; each span's
+        transfer matrix is made for all spans at once, messages go from span to span by these matrices, and each span
+        is then solved between the messages that reach it."""
+        counts = -(-lengths // step)
+        spans = np.full(int(counts.sum()), step)
+        last = np.cumsum(counts) - 1
+        spans[last] = lengths - (counts - 1) * step
+        if len(spans) == len(lengths):
+            return self.marginals(emit, lengths)
+        k = len(self.trans)
+        e, mask = self.padded(emit, spans)
+        e = np.exp((e - e.max(2, keepdims=True)).astype(np.float64))
+        a = np.exp((self.trans - self.trans.max()).astype(np.float64))
+        over = np.eye(k)[None] * e[0][:, None, :]
+        for t in range(1, len(e)):
+            x = (over @ a) * e[t][:, None, :]
+            x /= x.sum((1, 2), keepdims=True) + 1e-300
+            over = np.where(mask[t][:, None, None], x, over)
+        before, after = np.ones((len(spans), k)), np.ones((len(spans), k))
+        first = last - counts + 1
+        for j in range(1, int(counts.max())):
+            live = counts > j
+            at = first[live] + j
+            x = (before[at - 1][:, None, :] @ over[at - 1])[:, 0] @ a
+            before[at] = x / (x.sum(1, keepdims=True) + 1e-300)
+            at = last[live] - j
+            x = (over[at + 1] @ after[at + 1][:, :, None])[:, :, 0] @ a.T
+            after[at] = x / (x.sum(1, keepdims=True) + 1e-300)
+        return self.marginals(emit, spans, before=before, after=after)
+
+    def marginals(self, emit: np.ndarray, lengths: np.ndarray, pairs: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None):
         """Forward-backward over all sequences at once: label probabilities of each row,
-        and with ``pairs`` the expected transitions."""
+        and with ``pairs`` the expected transitions. ``before`` and ``after`` are the messages that reach a sequence's ends."""
         e, mask = self.padded(emit, lengths)
         top, n, k = e.shape
         e = np.exp(e - e.max(2, keepdims=True))
         a = np.exp(self.trans - self.trans.max())
-        fwd, scale = np.empty_like(e), None
-        fwd[0] = e[0]
+        fwd = np.empty_like(e)
+        fwd[0] = e[0] if before is None else e[0] * before
         fwd[0] /= fwd[0].sum(1, keepdims=True)
         for t in range(1, top):
             x = (fwd[t - 1] @ a) * e[t]
             x /= x.sum(1, keepdims=True) + 1e-30
             fwd[t] = np.where(mask[t][:, None], x, fwd[t - 1])
-        bwd = np.ones((n, k), np.float32)
+        bwd = np.ones((n, k), np.float32) if after is None else after.astype(np.float32)
         prob = np.empty_like(e)
         both = np.zeros((k, k))
         for t in range(top - 1, -1, -1):

@@ -7,10 +7,10 @@ import string
 from collections import Counter, defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrid.llm.common import add_column
+from lexgrid.llm.common import add_column, first_rows
 from lexgrid.llm.crf import LinearChain
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -77,7 +77,8 @@ def features(cores: list[str], lexicon: dict[str, int], size: int) -> np.ndarray
 class WordTagger:
     """A trained model: languages, lexicon and chain."""
 
-    def __init__(self, langs: list[str], lexicon: dict[str, int], chain: LinearChain, size: int):
+    def __init__(self, langs: list[str], lexicon: dict[str, int], chain: LinearChain, size: int, prior: np.ndarray):
+        self.prior = prior  # the languages' shares of the sample's words, for texts of which no feature was learned
         self.langs, self.lexicon, self.chain, self.size = langs, lexicon, chain, size
         self.known: dict[str, int] = {}
         self.pool = np.zeros((1024, len(langs)), np.float32)
@@ -111,14 +112,14 @@ class WordTagger:
             if n:
                 own = np.array([len(w) for w in words[i:j]])
                 emit = self._emissions([x for w in words[i:j] for x in w])
-                chains = [min(CHAIN, k - s) for k in own for s in range(0, k, CHAIN)]
-                prob = self.chain.marginals(emit, np.array(chains))
+                prob = self.chain.long_marginals(emit, own[own > 0])
                 prob *= np.abs(emit).sum(1, keepdims=True) > 0  # words without letters have no say
                 doc = np.repeat(np.arange(i, j), own)
                 for c in range(prob.shape[1]):
                     out[:, c] += np.bincount(doc, prob[:, c], minlength=len(texts))
             i = j
-        return out / np.maximum(out.sum(1, keepdims=True), 1e-9)
+        total = out.sum(1, keepdims=True)
+        return np.where(total > 0, out / np.maximum(total, 1e-9), self.prior)
 
 
 def train(samples: list[tuple[str, str]], size: int = 1 << 16, chains_each: int = 10, rounds: int = 40) -> WordTagger | None:
@@ -141,7 +142,8 @@ def train(samples: list[tuple[str, str]], size: int = 1 << 16, chains_each: int
         if w and total >= 5 and n >= 0.9 * total:
             lexicon[w] = langs.index(top)
     chain = LinearChain(size + len(langs), len(langs))
-    tagger = WordTagger(langs, lexicon, chain, size)
+    words_of = np.bincount([k for _, k in seqs], [len(c) for c, _ in seqs], len(langs)) if seqs else np.ones(len(langs))
+    tagger = WordTagger(langs, lexicon, chain, size, words_of / max(1.0, words_of.sum()))
     order: dict[str, int] = {}
     rows = np.array([order.setdefault(w, len(order)) for c, _ in seqs for w in c], np.int64)
     if len(rows):
@@ -155,19 +157,21 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
-    """``per_lang`` rows of each language, by the hash of the id. Only ids move; texts are
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, most_chars: int) -> DataFrame:
+    """``per_lang`` rows of each language, of up to ``most_chars`` characters, by the hash of the id. Only ids move; texts are
     read in a second scan against that bounded list."""
-    ids = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(id_col, F.col(lang_col).alias("_lang"))
-    w = Window.partitionBy("_lang").orderBy(F.xxhash64(id_col), id_col)
-    chosen = ids.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_lang).select(id_col, "_lang").distinct()
-    return docs.select(id_col, F.col(text_col).alias("_text"), F.col(lang_col).alias("_l")).join(F.broadcast(chosen), id_col).filter("_l = _lang").select("_text", "_lang")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    ids = rows.filter(F.col("_lang").isNotNull() & (F.length("_text") <= most_chars) & ~held_out("_id")).select("_id", "_lang")
+    chosen = first_rows(ids, ["_lang"], [F.xxhash64("_id"), "_id"], per_lang).distinct()
+    return rows.filter(F.length("_text") <= most_chars).join(F.broadcast(chosen), ["_id", "_lang"]).select("_text", "_lang")
 
 
-def tag_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, train_docs: DataFrame | None = None, name: str = "language") -> DataFrame:
+def tag_languages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, chains_each: int = 10, most_chars: int = 200_000, train_docs: DataFrame | None = None, name: str = "language"
+) -> DataFrame:
     """``docs`` with one more column: a struct of ``lang`` and ``score``, as in :func:`identify_languages`."""
-    samples = [(r["_text"], r["_lang"]) for r in training_rows(docs if train_docs is None else train_docs, id_col, text_col, lang_col, per_lang).collect()]
-    model = train(sorted(samples))
+    samples = [(r["_text"], r["_lang"]) for r in training_rows(docs if train_docs is None else train_docs, id_col, text_col, lang_col, per_lang, most_chars).collect()]
+    model = train(sorted(samples), chains_each=chains_each)
 
     def start():
         def step(text):
@@ -176,7 +180,7 @@ def tag_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if model:
                 share = model.shares(text)
                 for i, t in enumerate(text):
-                    if LETTER.search(t) and share[i].sum() > 0:
+                    if LETTER.search(t):
                         out[i] = {"lang": model.langs[int(share[i].argmax())], "score": float(min(1.0, share[i].max()))}
             return out
 
@@ -185,16 +189,21 @@ def tag_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return add_column(docs, [text_col], name, "struct<lang:string,score:double>", start)
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, train_docs: DataFrame | None = None) -> DataFrame:
+def identify_languages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, chains_each: int = 10, most_chars: int = 200_000, train_docs: DataFrame | None = None
+) -> DataFrame:
     """(id, held_out, lang_pred, score) of every row.
 
     The model learns from at most ``per_lang`` labelled rows of each language that aren't
-    held out (of ``train_docs``, or ``docs``), the one bound there is. Word labels come from forward-backward over
-    chains of affix, n-gram and lexicon features; the language with the largest mean
-    probability over all words of the whole text (units of 22 letters of longer words) wins, ties to the alphabetically first, and that
-    mean is the score. ``und`` with score 0 if the text is null, empty or has no letter, or if
-    nothing could be learned. A null id is not held out; repeated rows are predicted each; an
+    held out (of ``train_docs``, or ``docs``), of up to ``most_chars`` characters, and of each from ``chains_each`` chains of 32 words spread
+    over the text: the bounds of the sample, and the only ones. Word labels come from forward-backward over one
+    chain of affix, n-gram and lexicon features for each whole text; the language with the largest mean
+    probability over all words (units of 22 letters of longer words) wins, ties to the alphabetically first, and that
+    mean is the score. A text of whose words no feature was learned gets the languages' shares of the sample. ``und`` with score 0 if the text is null, empty or has no letter, or if
+    there is nothing to learn from. A null id is not held out; repeated rows are predicted each; an
     empty table gives an empty result; other columns are ignored."""
     own = docs.select(F.col(id_col), held_out(id_col).alias("_held"), F.col(text_col).alias("_text"))
-    tagged = tag_languages(own, id_col, "_text", lang_col, per_lang, docs.withColumnRenamed(text_col, "_text") if train_docs is None else train_docs.withColumnRenamed(text_col, "_text"), "_tag")
+    source = docs if train_docs is None else train_docs
+    rows = source.select(F.col(id_col), F.col(text_col).alias("_text"), F.col(lang_col))
+    tagged = tag_languages(own, id_col, "_text", lang_col, per_lang, chains_each, most_chars, rows, "_tag")
     return tagged.select(F.col(id_col), F.col("_held").alias("held_out"), F.col("_tag.lang").alias("lang_pred"), F.col("_tag.score").alias("score"))
