@@ -23,22 +23,30 @@ BLOCK = frozenset(
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Class, id and role words of what isn't the article.
 ROLE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|cookies?\w*|consent|gdpr|notices?|alerts?|side-?bar\w*|comments?|disqus|respond|footer|header|masthead|nav|navbar|navigation|menu\w*|breadcrumbs?|pagination|pager|share|sharing|social|related|recommended|newsletter|subscribe|popup|modal|widgets?|toolbar|complementary|contentinfo|search|skip-link)(?=$|[\s_-])",
+    r"ad|ads|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|cookies?\w*|consent|gdpr|notices?|alerts?|sidebar\w*|comments?|disqus|respond|footer|header|masthead|nav|navbar|navigation|menu\w*|breadcrumbs?|pagination|pager|share|sharing|social|related|recommended|newsletter|subscribe|popup|modal|widgets?|toolbar|complementary|contentinfo|search|skip",
     re.I,
 )
+#: Words that may stand beside them in a name of several words; with another word, as in ``search-engine``, the name says nothing certain.
+BESIDE = frozenset(
+    "area article back bar block body bottom box btn button buttons card cat center col column container content count entry field fixed form global group head heading holder icon icons image img inner input item items js label left line link links list lower main media mobile module outer overlay page panel post posts primary region right row secondary section side sidebar site sticky sub text thread title to toggle top unit upper wrap wrapper zone".split()
+)
+#: Of an ``article`` element, the words that make it a reader's comment or a teaser of another page.
+OTHER = re.compile(r"comments?|reply|replies|respond|teasers?|related|recommended|promo\w*|preview|sponsor\w*|advert\w*|ad", re.I)
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
     """(text, kind) of each block with a word, in page order; kind is ``article``, ``main``,
-    ``body`` or ``skip`` (menus, headers, footers, sidebars, notices, adverts, forms and comments)."""
-    out: list[tuple[str, str]] = []
+    ``body`` or ``skip`` (menus, headers, footers, sidebars, notices, adverts, forms, comments and teasers of other pages), or one of the first three with ``?``
+    where a name only may mean such a part. An article is a teaser by its name, or if its heading is a link and another article's isn't."""
+    out: list[tuple[str, str, int]] = []
+    number, headed, linked = 0, set(), set()  # of the article, those that have a heading, and those whose heading is a link
     stack: list[tuple[str, str]] = []  # tag, kind
     kind, parts, at = "body", [], 0
 
     def close() -> None:
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                out.append((text, kind))
+                out.append((text, kind, number if any(t == "article" for t, _ in stack) else 0))
             parts.clear()
 
     while at < len(page):
@@ -75,10 +83,20 @@ def blocks(page: str) -> list[tuple[str, str]]:
             stack.pop()
             kind = stack[-1][1] if stack else "body"
         inner = kind
+        names = [t for t, _ in stack]
+        if tag == "article" and "article" not in names:
+            number += 1
+        if "article" in names and tag in HEADING:
+            headed.add(number)
+        if "article" in names and (tag == "a" and not HEADING.isdisjoint(names) or tag in HEADING and "a" in names):
+            linked.add(number)
         if kind != "skip":
             inner = "article" if tag == "article" else "main" if tag == "main" and kind == "body" else kind
-            if tag in SKIP or tag == "header" and kind != "article" or m[3] and _aside(tag, m[3]):
+            aside = _aside(tag, m[3]) if m[3] else ""
+            if tag in SKIP or tag == "header" and kind != "article" or aside == "skip":
                 inner = "skip"
+            elif aside and kind in ("article", "main", "body"):
+                inner = kind + "?"
             elif m[3] and kind == "body" and re.search(r"""\brole\s*=\s*["']?(?:main|article)\b""", m[3], re.I):
                 inner = "main"
         if tag == "header" and kind == "article":
@@ -90,17 +108,30 @@ def blocks(page: str) -> list[tuple[str, str]]:
         stack.append((tag, inner))
         kind = inner
     close()
-    return [(t, "skip" if k == "headline" else k) for t, k in out]
+    if any(k == "article" and n in headed - linked for _, k, n in out):
+        out = [(t, "skip" if n in linked and k != "skip" else k, n) for t, k, n in out]
+    return [(t, "skip" if k.startswith("headline") else k) for t, k, _ in out]
 
 
-def _aside(tag: str, attributes: str) -> bool:
-    if tag in ("html", "body", "article", "main"):
-        return False
+def _aside(tag: str, attributes: str) -> str:
+    """``skip`` if the attributes name a part that isn't the article, ``?`` if they may, else nothing."""
+    if tag in ("html", "body", "main"):
+        return ""
+    found = ""
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" and not value or name == "aria-hidden" and value == "true" or name in ("class", "id", "role") and ROLE.search(value):
-            return True
-    return False
+        if name == "hidden" and not value or name == "aria-hidden" and value == "true":
+            return "skip"
+        for word in value.split() if name in ("class", "id", "role") else ():
+            parts = [x for x in re.split(r"[-_]+", word.lower().replace("side-bar", "sidebar")) if x]
+            if tag == "article":
+                if any(OTHER.fullmatch(x) for x in parts):
+                    return "skip"
+            elif any(ROLE.fullmatch(x) for x in parts):
+                if all(ROLE.fullmatch(x) or x in BESIDE or x.isdigit() for x in parts):
+                    return "skip"
+                found = "?"
+    return found
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
@@ -140,7 +171,11 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 
 def wanted(kinds: list[str]) -> str:
     """The kind of the blocks that are a page's text."""
-    return "article" if "article" in kinds else "main" if "main" in kinds else "body"
+    return next((k for k in ("article", "main") if k in kinds or k + "?" in kinds), "body")
+
+
+def of_kind(kinds: list[str], kind: str) -> list[int]:
+    return [i for i, k in enumerate(kinds) if k.rstrip("?") == kind]
 
 
 def shared_lines(own: dict, other: dict, copy_share: float) -> list[int] | None:
@@ -149,13 +184,13 @@ def shared_lines(own: dict, other: dict, copy_share: float) -> list[int] | None:
     if the shorter of both is shared."""
     kinds, size = own["kinds"], own["sizes"]
     if wanted(kinds) == "article":
-        mine, theirs = ([i for i, k in enumerate(x["kinds"]) if k == "article"] for x in (own, other))
+        mine, theirs = (of_kind(x["kinds"], "article") for x in (own, other))
         same = [mine[i] for i in common_lines([own["lines"][i] for i in mine], [other["lines"][i] for i in theirs])]
         total = min(sum(size[i] for i in mine), sum(other["sizes"][i] for i in theirs))
         return None if not theirs or sum(size[i] for i in same) > copy_share * total else same
-    kind = wanted(kinds)
-    same = [i for i in common_lines(own["lines"], other["lines"]) if kinds[i] == kind]
-    return None if sum(size[i] for i in same) > copy_share * sum(n for n, k in zip(size, kinds, strict=True) if k == kind) else same
+    text = of_kind(kinds, wanted(kinds))
+    same = sorted(set(common_lines(own["lines"], other["lines"])).intersection(text))
+    return None if sum(size[i] for i in same) > copy_share * sum(size[i] for i in text) else same
 
 
 #: Pages of one group, in the order of hosts and paths, and pages on each side that come with it.
@@ -169,14 +204,16 @@ def _common_path(a: str, b: str) -> int:
 
 
 def article_lines(own: dict, near: list[dict], copy_share: float) -> list[int]:
-    """The lines of ``own``'s article that the nearest articles of its host that aren't copies of it all hold."""
-    found = []
+    """The lines of ``own``'s article that the nearest articles of its host that aren't copies of it all hold; of
+    a line in a part whose name may not mean the article, the nearest one decides."""
+    found: list[set[int]] = []
     for other in near:
         if (same := shared_lines(own, other, copy_share)) is not None:
             found.append(set(same))
             if not same or len(found) == WITNESSES:
                 break
-    return sorted(set.intersection(*found)) if len(found) >= LEAST else []
+    unsure = {i for i in found[0] if own["kinds"][i].endswith("?")} if found else set()
+    return sorted(unsure | (set.intersection(*found) if len(found) >= LEAST else set()))
 
 
 def _nearer(own: dict, others: list[dict], copy_share: float) -> list[int] | None:
@@ -240,12 +277,13 @@ def split_url(url) -> tuple[F.Column, F.Column]:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", copy_share: float = 0.8) -> DataFrame:
     """(id, url, text, n_chars) of every row.
 
-    Blocks in menus, headers, footers, sidebars, notices, adverts, forms and comments go by tag,
+    Blocks in menus, headers, footers, sidebars, notices, adverts, forms, comments and teasers go by tag,
     class or role. If a page has an article, its blocks are the text; else the main element's, else all other blocks.
     Then page differencing: the distinct pages of a host are ordered by path, each is aligned with its nearer neighbour
     (the longer common path, ties to the earlier), line by line as a longest common subsequence, and
     lines that both hold are deleted. A line inside an article is deleted if the four nearest articles within
-    four pages on each side hold it (all there are, at least three). Neighbours sharing over ``copy_share`` of a page's text
+    four pages on each side hold it (all there are, at least three); where a part's name only may mean a menu or the like (``search-engine``),
+    its lines go if the nearest article holds them, and stay without one. Neighbours sharing over ``copy_share`` of a page's text
     (of the shorter article's) are copies and delete nothing; a page between two copies is compared with the pages beyond the run of copies. Only line hashes are sorted and grouped; a host of any size is dealt by ranges of its paths.
 
     Null html gives an empty text, a null url one on the empty host; broken markup is read as far as it
@@ -316,9 +354,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             out = []
             for p, g in zip(page, gone, strict=True):
                 found = blocks(p)
-                kind = wanted([k for _, k in found])
+                kinds = [k for _, k in found]
                 drop = set(g or ())
-                out.append(" ".join(t for i, (t, k) in enumerate(found) if k == kind and i not in drop))
+                out.append(" ".join(found[i][0] for i in of_kind(kinds, wanted(kinds)) if i not in drop))
             return [ids, url, out, [len(t) for t in out]]
 
         return step
