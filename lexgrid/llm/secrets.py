@@ -10,7 +10,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrid.llm.common import Scratch, map_rows
+from lexgrid.llm.common import Scratch, dealt, hot_keys, map_rows
 
 #: The base kinds in the order in which spans with one start are listed,
 #: each with its pattern, the group that is the value and the least length of that group.
@@ -30,6 +30,10 @@ PLACEHOLDER = re.compile(r"example|changeme|dummy|sample|placeholder|redacted|x{
 FINDING = "kind:string,start:int,end:int,base:boolean,secret:string,looks_live:boolean"
 
 
+#: Findings of one value that go to one task.
+HOT = 4096
+
+
 def entropy(value: str) -> float:
     n = len(value)
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
@@ -49,16 +53,16 @@ def findings(text: str) -> list[dict]:
     return sorted(out, key=lambda f: (f["start"], order.index(f["kind"])))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", wide_owners: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", wide_owners: int = 3, wide_repos: int = 20) -> DataFrame:
     """(id, findings) of every row. A finding has its kind, code points (end exclusive), whether
     it is a base kind, the value's hash, the distinct repositories and owners over the
-    whole corpus that hold the value, and a verdict: ``example`` if ``wide_owners`` owners
-    or more hold it or it doesn't look live, ``live`` if one owner holds it, else ``shared``.
+    whole corpus that hold the value, and a verdict: ``example`` if it doesn't look live, or ``wide_owners`` owners
+    or ``wide_repos`` repositories or more hold it, ``live`` if one owner holds it in fewer repositories, else ``shared``.
 
-    Null or empty texts have no findings; a null owner or repository counts as one
+    Null or empty texts have no findings; texts of any length are read whole; a null owner or repository counts as one
     of its own; repeated rows are scanned each and count once for each repository; an empty
     table gives an empty result; other columns are ignored. Ownership is counted in three steps (distinct triples,
-    then pairs, then values), so a value in a third of all rows is spread over many tasks."""
+    then pairs, then values), and the findings of a hot value are dealt over tasks when they get its counts."""
     scratch = Scratch(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((repo_col, "_repo"), (owner_col, "_owner"))]
@@ -78,9 +82,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("secret").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
     )
     f = F.col("_f")
-    verdict = F.when((F.col("n_owners") >= wide_owners) | ~f["looks_live"], "example").when(F.col("n_owners") == 1, "live").otherwise("shared")
+    valued = one.withColumn("secret", f["secret"])
+    wide = (F.col("n_owners") >= wide_owners) | (F.col("n_repos") >= wide_repos)
+    verdict = F.when(wide | ~f["looks_live"], "example").when(F.col("n_owners") == 1, "live").otherwise("shared")
     judged = (
-        one.withColumn("secret", f["secret"]).join(owners, "secret")
+        dealt(valued, owners, "secret", "_row", hot_keys(scratch, valued, "secret", HOT))
         .select("_row", id_col, F.struct("_pos", f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end"), f["base"].alias("base"), "secret", "n_repos", "n_owners", verdict.alias("verdict")).alias("_x"))
         .groupBy("_row", id_col).agg(F.sort_array(F.collect_list("_x")).alias("findings"))
         .select(id_col, "findings")
