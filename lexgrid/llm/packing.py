@@ -172,7 +172,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0
 
         return step
 
-    ddl = f"`{id_col}` {kind}, piece long, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    ddl = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     return map_rows(texts(docs, id_col, text_col), ddl, start, keep=True)
 
 
@@ -351,8 +351,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
 
     Null and empty texts are one piece of the end id; texts of any length are cut into
     pieces of ``capacity``, none dropped; repeated rows are packed each; ties of length, id
-    and piece are placed in any order; an empty table gives an empty result; other columns
+    and piece are placed in the order of their ids' checksum, and equal pieces are alike; an empty table gives an empty result; other columns
     are ignored. Sequence ids are 0, 1, ... and offsets in a sequence have no gaps."""
     scratch = Scratch(docs.sparkSession)
     pieces = scratch.keep(cut_pieces(docs, path, capacity, end_id, id_col, text_col))
-    return pack_pieces(pieces, (id_col, "piece"), capacity, scratch)
+    return pack_pieces(pieces, (id_col, "piece", "ids_crc32"), capacity, scratch)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrid.llm.common import map_rows, texts
+from lexgrid.llm.common import first_rows, map_rows, texts
 from lexgrid.llm.crf import LinearChain
 
 SYMBOLS = "#*$%&|<>"
@@ -145,24 +145,22 @@ def train(samples: list[tuple[str, int]], rounds: int = 60) -> LineLabeller:
     return LineLabeller(chain, least)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, quality_col: str, sample: int) -> list[tuple[str, int]]:
-    chosen = (
-        labels.filter(F.col(quality_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(quality_col).alias("_q"))
-        .orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    )
-    rows = docs.filter(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(chosen), id_col)
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, quality_col: str, sample: int, most_chars: int) -> list[tuple[str, int]]:
+    ids = labels.filter(F.col(quality_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(quality_col).alias("_q"))
+    chosen = first_rows(ids, [], [F.xxhash64("_id"), "_id"], sample)
+    rows = docs.filter(F.length(text_col) <= most_chars).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
     return sorted((r["_text"], r["_q"]) for r in rows.select("_text", "_q").collect())
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", sample: int = 1500) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", sample: int = 1500, most_chars: int = 200_000) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, content_share, least_share) of every row.
 
-    The labeller learns from at most ``sample`` labelled rows, by the hash of their id. Viterbi decoding
+    The labeller learns from at most ``sample`` labelled rows, by the hash of their id, those of up to ``most_chars`` characters. Viterbi decoding
     labels each line of the whole text; ``content_share`` is the share of words in content lines.
     Null and empty texts have zeros; a label given twice counts as the worse; repeated rows are scored
     each; empty tables give an empty result, or with no labels all lines as content; other columns are ignored."""
     kind = dict(docs.dtypes)[id_col]
-    model = train(training_rows(docs, labels, id_col, text_col, quality_col, sample))
+    model = train(training_rows(docs, labels, id_col, text_col, quality_col, sample, most_chars))
 
     def start():
         def step(ids, text):
