@@ -64,6 +64,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(of("kind", k) for k in ("assign", "access", "hex")),
         F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("findings")).alias("spans"),
         *(of("verdict", v) for v in ("live", "shared", "example")),
+        *(F.coalesce(F.array_max(F.transform("findings", lambda f: f[n])), F.lit(0)).cast("long").alias(f"most_{n[2:]}") for n in ("n_repos", "n_owners")),  # noqa: B023
     )
 
 
@@ -113,11 +114,26 @@ steps AS (SELECT host, segs, n, unnest(segs) AS seg, generate_subscripts(segs, 1
 named AS (SELECT *, array_to_string(segs[1:d - 1], '/') AS parent FROM steps),
 wide AS (SELECT host, d, parent FROM (SELECT host, d, parent, seg, sum(n) AS n FROM named GROUP BY ALL) GROUP BY ALL HAVING count(*) >= 12 AND count(*) >= 0.3 * sum(n)),
 shown AS (SELECT s.host, s.segs, '/' || string_agg(CASE WHEN w.host IS NULL THEN s.seg ELSE '*' END, '/' ORDER BY s.d) AS template FROM named s LEFT JOIN wide w ON w.host = s.host AND w.d = s.d AND w.parent = s.parent GROUP BY 1, 2),
-sums AS (SELECT p.host, template, sum(labels) AS labels, sum(blocks) AS blocks, regexp_replace(template, '^/[^/]*', '/*') AS tail FROM paths p JOIN shown USING (host, segs) GROUP BY ALL),
+sums AS (SELECT p.host, template, sum(n) AS n, sum(labels) AS labels, sum(blocks) AS blocks, regexp_extract(template, '^(/[^/]*)', 1) AS branch, regexp_replace(template, '^/[^/]*', '/*') AS tail FROM paths p JOIN shown USING (host, segs) GROUP BY ALL),
 tails AS (SELECT host, tail, sum(labels) AS l, sum(blocks) AS b FROM sums GROUP BY ALL),
+branches AS (SELECT host, branch, sum(n) AS bn, sum(labels) AS bl, sum(blocks) AS bb FROM sums GROUP BY ALL),
+hosts AS (SELECT host, sum(bn) AS hn, sum(bl) AS hl, sum(bb) AS hb FROM branches GROUP BY ALL),
+main AS (SELECT s.*, bn FROM sums s JOIN branches USING (host, branch) WHERE 20 * n >= bn),
+built AS (SELECT host, branch, md5(string_agg(tail, chr(10) ORDER BY tail)) AS sig, count(*) AS kinds, sum(n) AS inside FROM main GROUP BY ALL HAVING count(*) >= 2),
+members AS (SELECT * FROM main JOIN built USING (host, branch)),
+pools AS (SELECT host, sig, sum(bn) AS pn, sum(inside) AS pin FROM (SELECT DISTINCT host, branch, sig, bn, inside FROM members) GROUP BY ALL),
+shares AS (SELECT host, sig, tail, sum(n) AS pt FROM members GROUP BY ALL),
+each AS (SELECT host, branch, kinds, pn - pin AS more, bn - inside AS own_more, bn::DOUBLE AS own, (pn - bn)::DOUBLE AS rest, pow(sqrt((pn - bn)::DOUBLE / bn) * n - sqrt(bn::DOUBLE / (pn - bn)) * (pt - n), 2) / pt AS term
+ FROM members JOIN shares USING (host, sig, tail) JOIN pools USING (host, sig) WHERE pn > bn),
+tested AS (SELECT host, branch, sum(term) + any_value(CASE WHEN more > 0 THEN pow(sqrt(rest / own) * own_more - sqrt(own / rest) * (more - own_more), 2) / more ELSE 0 END) AS chi, any_value(kinds) - 1 + any_value((more > 0)::INT) AS free FROM each GROUP BY ALL),
+mine AS (SELECT m.* FROM members m JOIN tested USING (host, branch) WHERE chi <= free + 1.96 * sqrt(2 * free)),
+inherited AS (SELECT host, template, al, ab FROM mine JOIN (SELECT host, sig, tail, sum(labels) AS al, sum(blocks) AS ab FROM mine GROUP BY ALL) USING (host, sig, tail)),
 rates AS (SELECT *, CASE WHEN labels >= 8 AND l - labels >= 8 THEN abs(blocks / labels - (b - blocks) / (l - labels)) <= 1.96 * sqrt(b / l * (1 - b / l) * (1 / labels + 1 / (l - labels))) ELSE false END AS alike
- FROM (SELECT host, template, labels::DOUBLE AS labels, blocks::DOUBLE AS blocks, l::DOUBLE AS l, b::DOUBLE AS b FROM sums JOIN tails USING (host, tail))),
-judged AS (SELECT host, template, round((CASE WHEN alike THEN b ELSE blocks END + 2) / (CASE WHEN alike THEN l ELSE labels END + 4), 6) AS purity FROM rates)
+ FROM (SELECT host, branch, template, labels::DOUBLE AS labels, blocks::DOUBLE AS blocks, l::DOUBLE AS l, b::DOUBLE AS b FROM sums JOIN tails USING (host, tail))),
+counted AS (SELECT r.host, r.branch, r.template, CASE WHEN alike THEN l WHEN al IS NOT NULL AND labels < 8 THEN al ELSE labels END AS k, CASE WHEN alike THEN b WHEN al IS NOT NULL AND labels < 8 THEN ab ELSE blocks END AS x
+ FROM rates r LEFT JOIN inherited i ON i.host = r.host AND i.template = r.template),
+judged AS (SELECT host, template, round(CASE WHEN k > 0 THEN (x + 2) / (k + 4) WHEN bl > 0 THEN (bb + 2) / (bn + 4) WHEN hl > 0 THEN (hb + 2) / (hn + 4) ELSE 0.5 END::DOUBLE, 6) AS purity
+ FROM counted JOIN branches USING (host, branch) JOIN hosts USING (host))
 SELECT page_id, e.host, path, rule, CASE WHEN bad IS NOT NULL THEN CASE bad WHEN 1 THEN 'block' ELSE 'allow' END WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END AS verdict, s.template, purity
 FROM e JOIN shown s ON s.host = e.host AND s.segs = e.segs JOIN judged j ON j.host = s.host AND j.template = s.template""",
 }
