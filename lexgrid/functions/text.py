@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -145,15 +147,46 @@ def links(html: Column, pattern: str = DOWNLOAD_LINK, group: int = 0) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(group)))
 
 
-#: The character references that plain page text needs.
-REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+#: The named character references of HTML, as the standard library has them: with and without the semicolon where both are known.
+_NAMED = json.dumps(html.entities.html5)
+#: What browsers take the control characters 128 to 159 for.
+_WINDOWS = {i: bytes([i]).decode("cp1252") for i in range(128, 160) if bytes([i]).decode("cp1252", "ignore")}
+_REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
 
 
-def html_text(html: Column) -> Column:
+def unescape(c: Column) -> Column:
+    """All character references decoded, decimal, hexadecimal and named; others stay as they are. The text is cut at
+    its references, which are looked up in one constant map, and joined again; a text without any is left alone."""
+    names = F.from_json(F.lit(_NAMED), "map<string,string>")
+    old = F.create_map(*(F.lit(x) for kv in _WINDOWS.items() for x in kv))
+
+    def decoded(ref: Column) -> Column:
+        body = F.rtrim(ref, F.lit(";"))
+        code = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(body, 3, 10), 16, 10)).otherwise(F.substring(body, 2, 12)).try_cast("long")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.when(ref.startswith("#"), F.coalesce(F.element_at(old, code), char)).otherwise(F.coalesce(F.element_at(names, ref), F.concat(F.lit("&"), ref)))
+
+    refs = F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(1)), decoded)
+    pieces = F.split(c, _REFERENCE, -1)
+    joined = F.array_join(F.zip_with(pieces, refs, lambda piece, ref: F.concat(piece, F.coalesce(ref, F.lit("")))), "")
+    return F.when(c.contains("&"), joined).otherwise(c)
+
+
+def html_text(page: Column) -> Column:
     """The text nodes one a line, without script, style and head, in built-in functions."""
-    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<!doctype[^>]*>", "")
-    lined = F.regexp_replace(F.regexp_replace(bare, r"(<[^>]*>)+", "\n"), r"^\n+|\n+$", "")
-    return reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), REFERENCES, lined)
+    bare = F.regexp_replace(page, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<!doctype[^>]*>", "")
+    return unescape(F.regexp_replace(F.regexp_replace(bare, r"(<[^>]*>)+", "\n"), r"^\n+|\n+$", ""))
+
+
+def references_json(c: Column) -> Column:
+    return F.to_json(c)
+
+
+def references_of(c: Column) -> Column:
+    """References from their JSON; null and broken texts have none."""
+    found = F.from_json(c, "array<struct<article:string,ayat:string>>")
+    return F.coalesce(found, F.array().cast("array<struct<article:string,ayat:string>>"))
 
 
 def decode_page(data: Column) -> Column:

@@ -75,3 +75,22 @@ def store_diff(rows: DataFrame, stored: DataFrame, key: str, text: str) -> DataF
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New rows replace those of their key."""
     return new.unionByName(stored.join(new.select(key), key, "left_anti"))
+
+
+def lookup(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of the ids that are asked for."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def graph_diff(rows: DataFrame, graph: DataFrame, key: str, text: str) -> DataFrame:
+    """(key): rows that the graph has with another text; ids and texts that it lacks don't count."""
+    other = graph.select(F.col(key), F.col(text).alias("_have"))
+    return rows.select(key, text).join(other, key).filter(F.col("_have") != F.col(text)).select(key)
+
+
+def migrate(rows: DataFrame, stored: DataFrame, key: str, text: str, dry_run: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """What a store needs to hold ``rows``, as counts by state, and unless it is a dry run the store with the changed and missing rows
+    replaced. A second run on that store counts none."""
+    diff = store_diff(rows, stored, key, text)
+    counts = diff.groupBy("state").agg(F.count("*").alias("n"))
+    return counts, None if dry_run else upsert(stored, lookup(rows, diff, key).select(*stored.columns), key)

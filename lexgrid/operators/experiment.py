@@ -36,6 +36,16 @@ def stratified_split(rows: DataFrame, id_col: str, stratum: str, dev_share: floa
     return ranked.select(id_col, stratum, F.when(F.col("_r") <= F.bround(F.col("_n") * F.lit(dev_share)), "dev").otherwise("test").alias("split"))
 
 
+def in_split(items: DataFrame, split: DataFrame, name: str, key: str = "id") -> DataFrame:
+    """The items of a split (id, split); ``all`` takes every item."""
+    return items if name == "all" else items.join(split.filter(F.col("split") == name).select(F.col("id").alias(key)), key, "left_semi")
+
+
+def gold_ids(items: DataFrame, gold_col: str) -> DataFrame:
+    """(id): every gold id of any item, once."""
+    return items.select(F.explode(gold_col).alias("id")).distinct()
+
+
 def validate_gold(gold: DataFrame, store: DataFrame, graph: DataFrame) -> DataFrame:
     """(question, id, state) of gold (question, id): missing_store, missing_graph, trivial, suspicious or ok. store (id, text), graph (id)."""
     text = F.coalesce(X.strip(F.col("text")), F.lit(""))

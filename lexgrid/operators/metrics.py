@@ -39,6 +39,21 @@ def long_scores(scores: DataFrame, keys: list[str], names: list[str]) -> DataFra
     return scores.unpivot(keys, names, "metric", "value")
 
 
+def per_question(runs: DataFrame, gold: DataFrame, scores: DataFrame | None = None, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
+    """The long table of a report: a row for each question of each system, with the numbers of gold and retrieved ids, the latency and
+    all metrics. runs (system, query_id, latency_s, retrieved array), both systems' rows under one another; gold (query_id, id). ``scores`` of a judge
+    (system, query_id, columns) are joined by key, as ``judge_`` columns, null where there are none."""
+    hits = runs.select("system", "query_id", F.posexplode("retrieved").alias("pos", "id")).withColumn("rank", F.col("pos") + 1)
+    measured = score_rows(hits, gold, runs, ("system", "query_id"), ks)
+    n_gold = gold.distinct().groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    facts = runs.select("system", "query_id", "latency_s", F.size("retrieved").alias("n_retrieved")).join(n_gold, "query_id", "left")
+    out = facts.withColumn("n_gold", F.coalesce("n_gold", F.lit(0))).join(measured, ["system", "query_id"])
+    if scores is not None:
+        names = [c for c in scores.columns if c not in ("system", "query_id")]
+        out = out.join(scores.select("system", "query_id", *(F.col(c).alias(f"judge_{c}") for c in names)), ["system", "query_id"], "left")
+    return out
+
+
 def best_alpha(scores: DataFrame) -> DataFrame:
     """The alpha of the best mean recall@5, then mrr, both to 6 digits; ties to the smallest."""
     means = scores.groupBy("alpha").agg(F.avg("recall_5").alias("recall_5"), F.avg("mrr").alias("mrr"))

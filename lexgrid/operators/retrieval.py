@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,25 +10,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrid.functions.text import tokens
+from lexgrid.scratch import Scratch
 
 RRF_K, BM25_K1, BM25_B = 60, 1.5, 0.75
 CHUNK, QUERIES = 4096, 512
 
 
+#: Parts that a block of queries is repeated for, so that the corpus's chunks are dealt over as many tasks.
+DEALT = 256
+
+
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(query_id, id, sim, rank): the ``k`` rows nearest by cosine, ranks from 1, ties to the smaller id.
 
     queries (query_id, vector), corpus (id, vector). Both are packed into blocks, every block of the corpus meets
-    every block of queries in an equi-join on the query block's number, and a block pair is one matrix product that keeps
-    ``k`` rows of a query. So what moves is blocks and partial top-k lists, no side is broadcast, and any number of queries works."""
+    every block of queries, and a block pair is one matrix product that keeps ``k`` rows of a query. The join's key is the query block and
+    one of DEALT parts of the corpus's blocks, so that few queries don't gather the corpus in one task, and any number of queries works."""
 
-    def packed(frame: DataFrame, key: str, size: int, name: str) -> DataFrame:
-        n = F.pmod(F.xxhash64(key), F.lit(max(1, -(-frame.count() // size)))).cast("int").alias(name)
+    def packed(frame: DataFrame, key: str, blocks: int, name: str) -> DataFrame:
+        n = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(name)
         return frame.groupBy(n).agg(F.collect_list(F.struct(F.col(key).alias("i"), F.col("vector").alias("v"))).alias("rows"))
 
-    left = packed(queries, "query_id", QUERIES, "block").withColumnRenamed("rows", "qs")
-    blocks = max(1, -(-queries.count() // QUERIES))
-    right = packed(corpus, "id", CHUNK, "chunk").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    blocks, chunks = (max(1, -(-frame.count() // size)) for frame, size in ((queries, QUERIES), (corpus, CHUNK)))
+    parts = min(chunks, DEALT)
+    left = packed(queries, "query_id", blocks, "block").withColumnRenamed("rows", "qs").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = packed(corpus, "id", chunks, "chunk").withColumns({"part": F.pmod("chunk", F.lit(parts)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
     kinds = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["id"]
 
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,7 +51,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                     best = np.lexsort((di, -sims[j]))[:k]
                     yield pd.DataFrame({"query_id": np.full(len(best), qi[j]), "id": di[best], "sim": sims[j][best]})
 
-    part = right.join(left, "block").select("qs", "rows").mapInPandas(product, f"query_id {kinds[0]}, id {kinds[1]}, sim double")
+    part = right.join(left, ["block", "part"]).select("qs", "rows").mapInPandas(product, f"query_id {kinds[0]}, id {kinds[1]}, sim double")
     return top(part, "sim", k)
 
 
@@ -54,16 +60,19 @@ def top(hits: DataFrame, score: str, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25_pool(pool: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query_id, id, bm25) of each pooled document. pool (query_id, id), queries (query_id, text), texts (id, text).
-    Document counts, lengths and frequencies are the pool's own; query words count once; documents without any score 0."""
-    docs = pool.select("id").distinct().join(texts, "id").select("id", tokens(F.col("text")).alias("toks"))
-    docs = docs.withColumn("len", F.size("toks"))
-    words = docs.select("id", F.explode("toks").alias("tok")).groupBy("id", "tok").agg(F.count("*").alias("tf"))
-    lens = pool.select("query_id", "id").join(docs.select("id", "len"), "id")
-    stats = lens.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+def bm25_pool(pool: DataFrame, queries: DataFrame, texts: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(query_id, id, bm25) of each pooled document. pool (query_id, id), a written table, queries (query_id, text), texts (id, text).
+    Document counts, lengths and frequencies are the pool's own; query words count once; documents without any score 0. The pooled
+    documents are tokenised once, and matches are made once, as written tables."""
+    scratch = scratch or Scratch(texts.sparkSession)
+    docs = texts.join(pool.select("id").distinct(), "id", "left_semi").select("id", tokens(F.col("text")).alias("toks"))
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("tok"))
-    hits = lens.join(terms, "query_id").join(words, ["id", "tok"])
+    words = docs.select("id", F.size("toks").alias("len"), F.explode_outer("toks").alias("tok")).groupBy("id", "len", "tok").agg(F.count("*").alias("tf"))
+    words = scratch.keep(words)
+    lens = scratch.keep(pool.select("query_id", "id").join(words.select("id", "len").distinct(), "id"))
+    stats = lens.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    wanted = words.join(terms.select("tok").distinct(), "tok", "left_semi").select("id", "tok", "tf")
+    hits = scratch.keep(lens.join(wanted, "id").join(terms, ["query_id", "tok"]))
     df = hits.groupBy("query_id", "tok").agg(F.count("*").alias("df"))
     scored = hits.join(df, ["query_id", "tok"]).join(stats, "query_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -72,6 +81,16 @@ def bm25_pool(pool: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFram
     return lens.join(sums, ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("s", F.lit(0.0)), 9).alias("bm25"))
 
 
+def seeds(mode: str, pool: DataFrame, lexical: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
+    """(query_id, id, sim, rank) to start a graph retriever from: the ``k`` first of a dense pool (``dense``), or those of its fusion with
+    lexical scores (``hybrid``). Either way ``sim`` is the dense similarity, by which re-ranking orders; the rank is the mode's own."""
+    if mode not in ("dense", "hybrid"):
+        raise ValueError(f"unknown seeding: {mode}")
+    if mode == "dense":
+        return pool.filter(F.col("rank") <= k)
+    return fuse(pool, lexical(pool), k).drop("fused")
+
+
 def fuse(pool: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     """Reciprocal rank fusion of a dense pool (query_id, id, sim, rank) and lexical scores: ranks from 0,
     lexical ties in dense order, fused ties by id."""

@@ -9,6 +9,7 @@ from lexgrid.functions import extract as E
 from lexgrid.functions import text as X
 from lexgrid.operators import corpus, experiment, graph, metrics, retrieval
 from lexgrid.plans import fixture
+from lexgrid.scratch import Scratch
 
 ALPHAS = [0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 1.0]
 TOP_K, POOL, HOPS, EVERY = 5, 200, 2, 50
@@ -59,11 +60,11 @@ SQL["dense_topk"] = f"WITH {DENSE} SELECT query_id, id, round(sim, 6) AS sim, ra
 
 
 def pool(spark, sf_dir) -> DataFrame:
-    """Each benchmark item's nearest documents, by the vectors of the same ids."""
+    """Each benchmark item's nearest documents, by the vectors of the same ids, as a written table, since ranks and texts both start from it."""
     _, emb = vectors(spark, sf_dir)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     q = emb.join(items, F.col("id") == F.col("query_id")).select("query_id", "vector")
-    return retrieval.dense_topk(q, emb, POOL)
+    return Scratch(spark).keep(retrieval.dense_topk(q, emb, POOL))
 
 
 POOL_SQL = f"""pool AS (SELECT * FROM (SELECT query_id, id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM (
@@ -82,7 +83,7 @@ bm AS (SELECT query_id, id, round(coalesce(s, 0.0), 9) AS bm25 FROM lens LEFT JO
 
 def lexical(spark, sf_dir, pooled: DataFrame) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.bm25_pool(pooled, items, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return retrieval.bm25_pool(pooled, items, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), Scratch(spark))
 
 
 def bm25_pool(spark, sf_dir):
@@ -213,12 +214,19 @@ def vector_edges(spark, sf_dir):
     return graph.build_edges(references(spark, sf_dir), emb, "ayat")
 
 
-def candidates(spark, sf_dir):
-    q, emb = vectors(spark, sf_dir)
-    links = vector_edges(spark, sf_dir)
-    seeds = dense(spark, sf_dir, TOP_K)
+def gathered(spark, sf_dir, seeds: DataFrame, queries: DataFrame) -> DataFrame:
+    """The candidates of given seeds, as a written table: gathered once, re-ranked as often as wanted."""
+    scratch = Scratch(spark)
+    _, emb = vectors(spark, sf_dir)
+    seeds, links = scratch.keep(seeds), scratch.keep(vector_edges(spark, sf_dir))
     reach = graph.expand(seeds.select("id"), links, HOPS)
-    return retrieval.graph_candidates(seeds, reach, graph.degrees(links), q, emb)
+    found = scratch.keep(retrieval.graph_candidates(seeds, scratch.keep(reach), graph.degrees(links), queries, emb))
+    scratch.drop_but(found)
+    return found
+
+
+def candidates(spark, sf_dir):
+    return gathered(spark, sf_dir, dense(spark, sf_dir, TOP_K), vectors(spark, sf_dir)[0])
 
 
 CANDIDATES = DENSE + """,
@@ -283,7 +291,7 @@ SQL["ir_metrics"] = f"WITH {DENSE}, {GOLD}, d20 AS (SELECT * FROM dense WHERE ra
 
 
 def alpha_scores(spark, sf_dir):
-    ranked = retrieval.rerank(candidates(spark, sf_dir), ALPHAS, TOP_K)
+    ranked = Scratch(spark).keep(retrieval.rerank(candidates(spark, sf_dir), ALPHAS, TOP_K))
     q, _ = vectors(spark, sf_dir)
     asked = q.select("query_id").withColumn("alpha", F.explode(F.array(*map(F.lit, ALPHAS))))
     return metrics.score_rows(ranked, gold(spark, sf_dir), asked, ("alpha", "query_id"))
@@ -326,7 +334,7 @@ def pairs(spark, sf_dir):
     b = metrics.score_rows(retrieval.rerank(candidates(spark, sf_dir), [0.5], TOP_K).drop("alpha"), own, q)
     long_ = lambda s, n: metrics.long_scores(s, ["query_id"], NAMES).withColumnRenamed("value", n)
     kind = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.when(F.col("label") % 2 == 0, "single").otherwise("multi").alias("slice"))
-    return long_(a, "a").join(long_(b, "b"), ["query_id", "metric"]).join(kind, "query_id")
+    return Scratch(spark).keep(long_(a, "a").join(long_(b, "b"), ["query_id", "metric"]).join(kind, "query_id"))
 
 
 _M5 = "m AS (SELECT query_id, min(rank) FILTER (g.id IS NOT NULL) AS first, max(rank) AS n, " + ", ".join(f"count(*) FILTER (g.id IS NOT NULL AND rank <= {k}) AS h{k}" for k in metrics.K_VALUES)
@@ -359,8 +367,22 @@ SELECT metric, slice, round(least(plus, minus), 6)::DOUBLE AS w_stat, round((lea
 
 
 def paired_tests(spark, sf_dir):
-    """The report with p-values, which SQL has no functions for; the tests compare them with tables."""
-    return metrics.paired_report(pairs(spark, sf_dir))
+    """The report with both tests and their p-values."""
+    s = metrics.paired_report(pairs(spark, sf_dir))
+    return s.select("metric", "slice", "n", *(F.round(F.when(~F.isnan(c), F.col(c)), 5).alias(c) for c in ("mean_delta", "w_stat", "z", "wilcoxon_p", "t_stat", "t_p")))
+
+
+def _area(density: str, to: str) -> str:
+    """Twice the area under a symmetric density beyond ``to``, by Simpson's rule; a step of 1/1000 of the whole."""
+    f = lambda x: density.replace("?", f"({x})")
+    return f"greatest(0, 1 - 2 * abs({to}) / 6000 * list_sum(list_transform(range(1000), lambda i: {f(f'abs({to}) * i / 1000')} + 4 * {f(f'abs({to}) * (i + 0.5) / 1000')} + {f(f'abs({to}) * (i + 1) / 1000')})))"
+
+
+SQL["paired_tests"] = SQL["wilcoxon"].split("\nSELECT metric")[0] + f""",
+wz AS (SELECT metric, slice, least(plus, minus)::DOUBLE AS w, (least(plus, minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM su),
+ts AS (SELECT metric, slice, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd, avg(d) / nullif(stddev_samp(d), 0) * sqrt(count(*)) AS t, (count(*) - 1)::DOUBLE AS df FROM px GROUP BY 1, 2)
+SELECT metric, slice, n, round(mean, 5) AS mean_delta, CASE WHEN z IS NOT NULL THEN round(w, 5) END AS w_stat, round(z, 5) AS z, CASE WHEN z IS NULL THEN 1.0 ELSE round({_area('exp(-? * ? / 2) / sqrt(2 * pi())', 'z')}, 5) END AS wilcoxon_p,
+CASE WHEN z IS NOT NULL THEN round(t, 5) END AS t_stat, CASE WHEN z IS NULL THEN 1.0 ELSE round({_area('exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + ? * ? / df, -(df + 1) / 2)', 't')}, 5) END AS t_p FROM ts LEFT JOIN wz USING (metric, slice)"""
 
 
 # --- corpus
@@ -489,7 +511,8 @@ def html_text(spark, sf_dir):
 
 
 _HTML = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<!doctype[^>]*>', '', 'g'), '(<[^>]*>)+', chr(10), 'g'), '^\n+|\n+$', '', 'g')"
-for _name, _char in X.REFERENCES:
+#: The references that the pages have.
+for _name, _char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
     _HTML = f"replace({_HTML}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
 SQL["html_text"] = f"WITH t AS (SELECT page_id, {_HTML} AS t FROM pages) SELECT page_id, md5(t) AS text_md5, length(t)::BIGINT AS n_chars FROM t"
 
@@ -588,7 +611,7 @@ def text_flags(spark, sf_dir):
 SQL["text_flags"] = r"""SELECT doc_id, length(text) >= 15 AND NOT regexp_matches(text, '(?i)^\s*(Ayat\s*\(|Huruf\s|Angka\s|Cukup\s+jelas)') AS usable, length(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'))::BIGINT AS clean_chars,
 len(regexp_extract_all(lower(text), '[a-z0-9]+'))::BIGINT AS n_tokens, md5(left(text, 6000)) AS input_md5 FROM documents"""
 
-QUERIES = {
+LOCAL = {
     f.__name__: f
     for f in (
         dense_topk, bm25_pool, hybrid_rrf, context_format, graph_edges, graph_degree, graph_expand_2hop, graph_stats, orphans, top_degree, duplicate_edges, stub_vertices, graph_boost, graph_rerank,
@@ -596,3 +619,8 @@ QUERIES = {
         run_log, run_resume, split_stratified, html_text, link_extract, article_split, cross_refs, intra_refs, amends, definitions, parse_counters, normalise_key, regulation_parts, text_flags,
     )
 }
+
+from lexgrid.plans import building, evaluation  # noqa: E402  both read this module's tables
+
+QUERIES = LOCAL | building.QUERIES | evaluation.QUERIES
+SQL |= building.SQL | evaluation.SQL
