@@ -6,10 +6,10 @@ NBSP = " "
 #: regulation id, title, article number, text
 ARTICLES = [
     ("PP 1 TAHUN 2020", "Perubahan atas Peraturan Pemerintah Nomor 9 Tahun 2015", "4", "Sesuai Pasal 4 dan Pasal 5 ayat (1) serta Pasal 10O, juga pasal 7a."),
-    ("UU 7 TAHUN 2021", "Pencabutan Peraturan Menteri Keuangan Nomor 45/PMK.011/2018", "2", "Pasal 3 Undang-Undang Nomor 8 Tahun 1983 dan Pasal 3 ayat (2) Peraturan Menteri Keuangan Republik Indonesia Nomor 99/PMK Tahun 2018; lihat Pasal 3."),
-    ("PMK 18 TAHUN 2026", "Perubahan Kedua atas PMK Nomor 18 Tahun 2020", "1", f"Dalam ini, yang dimaksud dengan: 1. Pajak Pusat adalah pungutan. 2. Wajib{NBSP}Pajak, yang selanjutnya disebut WP, adalah orang. 3. pajak pusat adalah lagi. 4. F1 adalah x. 5. Kas Negara yang selanjutnya disingkat KN, adalah kas."),
+    ("UU 31 TAHUN 2017", "Pencabutan Peraturan Menteri Keuangan Nomor 52/PMK.07/2014", "2", "Pasal 3 Undang-Undang Nomor 8 Tahun 1983 dan Pasal 3 ayat (2) Peraturan Menteri Keuangan Republik Indonesia Nomor 99/PMK Tahun 2018; lihat Pasal 3."),
+    ("PMK 44 TAHUN 2022", "Perubahan Kedua atas PMK Nomor 61 Tahun 2019", "1", f"Dalam ini, yang dimaksud dengan: 1. Pajak Pusat adalah pungutan. 2. Wajib{NBSP}Pajak, yang selanjutnya disebut WP, adalah orang. 3. pajak pusat adalah lagi. 4. F1 adalah x. 5. Kas Negara yang selanjutnya disingkat KN, adalah kas."),
     ("UU 13TAHUN2003", "Tentang Ketenagakerjaan", "9", "Pasal 9 UU Nomor 13 Tahun 2003 dan Pasal 8 Perppu Nomor 2 Tahun 2022 dan Pasal 6 Keputusan Menteri Keuangan Nomor 5 Tahun 1999 dan Pasal 1 KMK Nomor 4 Tahun 2001."),
-    ("PP 8 TAHUN 1983", "Pencabutan atas UU Nomor 8 Tahun 1983 dan lainnya", "3", "Pasal 2 PP Nomor 8 Tahun 1983 dan Pasal 2 Peraturan\nPemerintah Nomor 8 Tahun 1984. Pasal 2 ayat (1) dan Pasal 2 ayat (1)."),
+    ("PP 23 TAHUN 1991", "Pencabutan atas UU Nomor 8 Tahun 1983 dan lainnya", "3", "Pasal 2 PP Nomor 23 Tahun 1991 dan Pasal 2 Peraturan\nPemerintah Nomor 24 Tahun 1992. Pasal 2 ayat (1) dan Pasal 2 ayat (1)."),
     ("KMK 5 TAHUN 1999", "Perubahan atas ketentuan umum", "1", "Tidak ada apa-apa di sini."),
     ("UNKNOWN", "", "12", ""),
 ]

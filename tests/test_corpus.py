@@ -34,7 +34,7 @@ def test_regulation_type(spark, raw, want):
     assert apply(spark, X.regulation_type, raw) == want
 
 
-@pytest.mark.parametrize("text, want", [("Ayat (1) Yang dimaksud", True), ("Cukup jelas.", True), ("Huruf a Dalam", True), ("Angka 2 K", True), ("  ayat(1)", True), ("(1) Tarif pajak", False), ("Angka", False)])
+@pytest.mark.parametrize("text, want", [("Ayat (7) tentang batas waktu", True), ("Cukup   jelas", True), ("huruf c serta d", True), ("ANGKA 11 memuat", True), ("  ayat(1)", True), ("Setiap wajib lapor", False), ("Angka", False), ("", False)])
 def test_elucidation(spark, text, want):
     assert apply(spark, X.is_elucidation, text) is want
 
