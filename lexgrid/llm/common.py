@@ -97,6 +97,8 @@ def fresh(frame: DataFrame, name: str) -> str:
 def hot_keys(scratch: Scratch, rows: DataFrame, keys: str | list[str], most: int) -> DataFrame | None:
     """The keys with more than ``most`` rows, and how many tasks each is dealt to; None if there are none. It has a row for every ``most``
     rows at most, and as a written table its size is known, so that Spark decides how to join it."""
+    if hasattr(rows, "_kept_at") and rows.count() <= most:  # a written table's rows are counted by its files' ends
+        return None
     keys = [keys] if isinstance(keys, str) else keys
     hot = scratch.keep(rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).filter("_parts > 1"))
     return None if hot.isEmpty() else hot

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrid.llm.common import Scratch, map_rows, texts
+from lexgrid.llm.common import Scratch, dealt, fresh, hot_keys, map_rows, texts
 from lexgrid.llm.components import components
 
 #: Slots of the frequency sketch that orders shingles, whatever the corpus's size.
@@ -16,9 +16,10 @@ SLOTS = 1 << 21
 MEETS = 3
 #: Words whose hashes a worker remembers; past this it forgets them.
 MEMORY = 300_000
-#: Involved ids up to which they're sent to all executors; beyond, texts are joined by a shuffle.
-SMALL = 300_000
-BLOCK = 128
+#: Bytes of wanted ids, measured, up to which they're sent to all executors; beyond, texts are joined by a shuffle.
+SMALL = 24_000_000
+#: Entries of a block of an index list, and rows of one key that go to one task.
+BLOCK, HOT = 128, 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -127,8 +128,9 @@ def summarise(rows: DataFrame, id_col: str, kind: str, size: int, num: int, den:
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     """(node, set) of the wanted (node, _id, _hi, _lo), from their texts."""
-    small = wanted.count() <= SMALL
-    left = texts(docs, id_col, text_col, binary=True).withColumnRenamed(id_col, "_own")
+    size_of = sum((F.coalesce(F.octet_length(c), F.lit(0)) if k == "string" else F.lit(0) for c, k in wanted.dtypes), F.lit(16 * len(wanted.columns)))
+    small = (wanted.agg(F.sum(size_of)).first()[0] or 0) <= SMALL
+    left = texts(docs, id_col, text_col, binary=True).toDF("_own", "_text")
     right = F.broadcast(wanted) if small else wanted
     joined = left.join(right, left["_own"].eqNullSafe(right["_id"]))
 
@@ -146,8 +148,10 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, si
 
         return step
 
-    found = map_rows(joined.select("node", "_hi", "_lo", "_text"), "node long, set array<long>", start)
-    return scratch.keep(found.groupBy("node").agg(F.first("set").alias("set")))
+    found = scratch.keep(map_rows(joined.select("node", "_hi", "_lo", "_text"), "node long, set array<long>", start))
+    if found.count() == found.select("node").distinct().count():
+        return found
+    return scratch.keep(found.groupBy("node").agg(F.first("set").alias("set")))  # of repeated rows one
 
 
 def linked(inter, n_a, n_b, num: int, den: int) -> F.Column:
@@ -166,8 +170,10 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     2. Stars: a group of similar nodes takes one of them as its star, is compared with it alone, and keeps the differences.
     3. Members of one star in different components are answered from their differences, which must meet.
     4. All other pairs that meet often enough in prefixes, are of different stars and aren't in one component
-       yet are verified from both sets. Lists are skipped where one star or component fills them, and by blocks of a star and their sizes.
-    No link between components is left out: a pair is skipped only if already joined by verified links.
+       yet are verified from both sets. Lists are skipped where one star or component fills them. The others stand in blocks of one star,
+       of like positions and like differences with it; a pair of blocks is skipped by sizes, by positions, and by the
+       distance of both stars less what their members can differ from them.
+    No link between components is left out: a pair is skipped only if it can't link or is joined by verified links already.
 
     Null and empty texts have no set, 0 shingles and their own id; a text of fewer words than a shingle is one
     shingle; repeated rows and ids are rows of one component if their texts link; a null id takes part and
@@ -177,89 +183,125 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     kind = dict(docs.dtypes)[id_col]
     rows = texts(docs, id_col, text_col, binary=True)
     levels = frequency_levels(rows, size)
-    kept = scratch.keep(summarise(rows, id_col, kind, size, num, den, levels).withColumn("_uid", F.monotonically_increasing_id()))
-    nodes = scratch.keep(
-        kept.filter("_n > 0").groupBy("_hi", "_lo").agg(F.min(F.struct("_uid", "_id", "_n", "_prefix")).alias("m"), F.min("_id").alias("least"))
+    full = scratch.keep(summarise(rows, id_col, kind, size, num, den, levels).withColumn("_uid", F.monotonically_increasing_id()))
+    whole = scratch.keep(
+        full.filter("_n > 0").groupBy("_hi", "_lo").agg(F.min(F.struct("_uid", "_id", "_n", "_prefix")).alias("m"), F.min("_id").alias("least"))
         .select("_hi", "_lo", F.col("m._uid").alias("node"), F.col("m._id").alias("_id"), F.col("m._n").alias("n"), F.col("m._prefix").alias("prefix"), "least")
     )
-    links = _links(docs, id_col, text_col, nodes, size, num, den, stars, scratch)
+    posts = whole.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    # only what at least two nodes post
+    several = posts.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    posts = scratch.keep(posts.join(several, "token"))
+    kept, nodes = scratch.keep(full.drop("_prefix")), scratch.keep(whole.drop("prefix"))
+    scratch.drop(full, whole)  # prefixes are read no more
+    links = _links(docs, id_col, text_col, nodes, posts, size, num, den, stars, scratch)
     if links is None:
-        final = nodes.select("_hi", "_lo", F.col("least").alias("component_id"))
+        final = scratch.keep(nodes.select("_hi", "_lo", F.col("least").alias("component_id")))
     else:
-        comps = components(scratch, links)
-        placed = nodes.select("_hi", "_lo", "node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        placed = scratch.keep(_placed(nodes.select("_hi", "_lo", "node", "least"), components(scratch, links), "node", "comp"))
         ids = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-        final = scratch.keep(placed.join(ids, "comp").select("_hi", "_lo", "component_id"))
+        final = scratch.keep(dealt(placed, ids, "comp", "node", hot_keys(scratch, placed, "comp", HOT)).select("_hi", "_lo", "component_id"))
+    scratch.drop_but(kept, final)
     more = [F.col("_h").alias("text_hash")] if with_hash else []
     alone = kept.filter("_n = 0").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_id").alias("component_id"), *more)
-    rest = kept.filter("_n > 0").select("_hi", "_lo", "_id", "_n", "_h").join(final, ["_hi", "_lo"])
+    named = kept.filter("_n > 0").select("_hi", "_lo", "_id", "_n", "_h", "_uid")
+    rest = dealt(named, final, ["_hi", "_lo"], "_uid", hot_keys(scratch, named, ["_hi", "_lo"], HOT))
     return rest.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), "component_id", *more).unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one of the smallest id (ties: by the text's
-    hash, nulls last), and every row without words. Of rows that agree in id and text one stays."""
+    hash, nulls last), and every row without words. Of rows that agree in id and text one stays.
+
+    Null and empty texts stay, as does a row with a null id unless its component has another; texts of any length
+    are compared whole; an empty table stays empty; other columns pass as they are, whatever their names."""
     scratch = Scratch(docs.sparkSession)
     placed = scratch.keep(jaccard_components(docs, size, num, den, id_col, text_col, with_hash=True))
     first = F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))
+    i, h = fresh(docs, "_i"), fresh(docs, "_h")
     with_words = placed.filter("n_shingles > 0")
-    winners = with_words.groupBy("component_id").agg(F.min(first).alias("w")).select(F.col("w.i").alias("_i"), F.col("w.h").alias("_h"))
-    winners = winners.unionByName(placed.filter("n_shingles = 0").select(F.col(id_col).alias("_i"), F.col("text_hash").alias("_h")).distinct())
+    winners = with_words.groupBy("component_id").agg(F.min(first).alias("w")).select(F.col("w.i").alias(i), F.col("w.h").alias(h))
+    winners = winners.unionByName(placed.filter("n_shingles = 0").select(F.col(id_col).alias(i), F.col("text_hash").alias(h)).distinct())
     own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    kept = docs.join(winners, docs[id_col].eqNullSafe(F.col("_i")) & (own == F.col("_h")), "left_semi")
+    kept = docs.join(winners, docs[id_col].eqNullSafe(F.col(i)) & (own == F.col(h)), "left_semi")
     repeated = with_words.groupBy(id_col, "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
     if repeated.isEmpty():
         return kept
-    mark = kept.withColumn("_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    return mark.dropDuplicates([id_col, "_own"]).drop("_own")
+    return kept.withColumn(h, own).dropDuplicates([id_col, h]).drop(h)
 
 
-def _links(docs, id_col, text_col, nodes, size, num, den, stars, scratch) -> DataFrame | None:
+def _links(docs, id_col, text_col, nodes, posts, size, num, den, stars, scratch) -> DataFrame | None:
     """Links (a, b) of nodes that connect all that linked sets connect; None if there are none."""
-    need = F.least(F.lit(MEETS), F.ceil(num * F.col("n") / den).cast("int"))
-    posts = nodes.select("node", "n", need.alias("need"), F.explode("prefix").alias("token"))
-    # only what at least two nodes post
-    wide = posts.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    posts = scratch.keep(posts.join(wide, "token"))
     if posts.isEmpty():
         return None
     best = scratch.keep(_hubs(posts, num, den, stars))
     found: list[DataFrame] = []
-    comps = sets = near = None
-    keys = nodes.select("node", "_id", "_hi", "_lo")
-    if not best.isEmpty():
-        wanted = scratch.keep(keys.join(best.select("node").union(best.select("hub")).distinct(), "node"))
-        sets = full_sets(docs, id_col, text_col, wanted, size, scratch)
-        for s in range(stars):
-            pairs = best.filter(F.col("seed") == s).drop("seed")
-            if comps is not None:
-                pairs = scratch.keep(_across(pairs, comps, "node", "hub"))
-            if pairs.isEmpty():
-                continue
-            own = pairs.join(sets, "node").withColumnRenamed("set", "own")
-            both = own.join(sets.select(F.col("node").alias("hub"), F.col("set").alias("center")), "hub")
-            seen = both.select("node", "hub", "n", "hub_n", F.array_except("own", "center").alias("plus"), F.array_except("center", "own").alias("minus"))
-            ok = linked(F.col("n") - F.size("plus"), F.col("n"), F.col("hub_n"), num, den)
-            if s == 0:  # what a member and its star don't share, if that is at most half of the member's size
-                seen = scratch.keep(seen.select("node", "hub", "n", "hub_n", ok.alias("ok"), F.concat("plus", "minus").alias("diff")).withColumn("diff", F.when(2 * F.size("diff") <= F.col("n"), F.col("diff"))))
-                near = seen.filter(F.col("diff").isNotNull())
-                good = scratch.keep(seen.filter("ok").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-            else:
-                good = scratch.keep(seen.filter(ok).select(F.col("node").alias("a"), F.col("hub").alias("b")))
-            if not good.isEmpty():
-                found.append(good)
-                comps = components(scratch, _all(found))
+    comps = near = None
+    sets = Sets(docs, id_col, text_col, nodes.select("node", "_id", "_hi", "_lo"), size, scratch)
+    for s in range(stars):
+        pairs = best.filter(F.col("seed") == s).drop("seed")
+        if comps is not None:
+            pairs = _across(pairs, comps, "node", "hub")
+        pairs = scratch.keep(pairs)
+        if pairs.isEmpty():
+            continue
+        if s == 0:  # those of all seeds, in one scan
+            sets.fetch(best.select("node").union(best.select("hub")))
+        seen = sets.apart(pairs, "node", "hub", once=True)
+        ok = linked(F.col("n") - F.size("plus"), F.col("n"), F.col("hub_n"), num, den)
+        if s == 0:  # what a member and its star don't share, if that is at most half of the member's size
+            seen = scratch.keep(seen.select("node", "hub", "n", "hub_n", ok.alias("ok"), F.concat("plus", "minus").alias("diff")).withColumn("diff", F.when(2 * F.size("diff") <= F.col("n"), F.col("diff"))))
+            near = scratch.keep(seen.filter(F.col("diff").isNotNull()))
+            ok = F.col("ok")
+        good = scratch.keep(seen.filter(ok).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        if s == 0:
+            scratch.drop(seen)
+        if not good.isEmpty():
+            found.append(good)
+            comps = components(scratch, _all(found))
     if near is not None:
-        good = scratch.keep(_within(near, comps, num, den, scratch))
+        good = _within(near, comps, num, den, scratch)
         if not good.isEmpty():
             found.append(good)
             comps = components(scratch, _all(found))
-    pairs = scratch.keep(_crossing(posts, comps, near, num, den, scratch))
+    pairs = scratch.keep(_crossing(posts, comps, near, sets, num, den, scratch))
     if not pairs.isEmpty():
-        found.append(_verify(docs, id_col, text_col, keys, pairs, sets, size, num, den, scratch))
+        sets.fetch(pairs.select("a").union(pairs.select("b")))
+        ok = linked(F.col("n_a") - F.size("plus"), F.col("n_a"), F.col("n_b"), num, den)
+        found.append(scratch.keep(sets.apart(pairs, "a", "b").filter(ok).select("a", "b")))
     return _all(found) if found else None
 
 
+class Sets:
+    """The whole sets of the nodes that were asked for, each read from its text once."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, keys: DataFrame, size: int, scratch: Scratch):
+        self.source, self.keys, self.size, self.scratch = (docs, id_col, text_col), keys, size, scratch
+        self.whole: DataFrame | None = None
+
+    def fetch(self, nodes: DataFrame) -> None:
+        wanted = self.keys.join(nodes.toDF("node").distinct(), "node")
+        if self.whole is not None:
+            wanted = wanted.join(self.whole.select("node"), "node", "left_anti")
+        wanted = self.scratch.keep(wanted)
+        if not wanted.isEmpty():
+            more = full_sets(*self.source, wanted, self.size, self.scratch)
+            self.whole = more if self.whole is None else self.whole.unionByName(more)
+
+    def _of(self, pairs: DataFrame, key: str, name: str) -> DataFrame:
+        """The sets of the nodes in ``key``; where these are the smaller part, their ids are joined first, so that no other set moves."""
+        named = self.whole.select(F.col("node").alias(key), F.col("set").alias(name))
+        nodes = self.scratch.keep(pairs.select(key).distinct())
+        return named.join(nodes, key, "left_semi") if 2 * nodes.count() <= self.whole.count() else named
+
+    def apart(self, pairs: DataFrame, a: str, b: str, once: bool = False) -> DataFrame:
+        """``pairs``, a written table, with ``plus`` and ``minus``: what a has and b hasn't, and the reverse. A node of many pairs is dealt over
+        tasks; ``once``: no a has two."""
+        out = dealt(pairs, self._of(pairs, a, "_own"), a, b, None if once else hot_keys(self.scratch, pairs, a, HOT))
+        out = dealt(out, self._of(pairs, b, "_its"), b, a, hot_keys(self.scratch, pairs, b, HOT))
+        return out.withColumns({"plus": F.array_except("_own", "_its"), "minus": F.array_except("_its", "_own")}).drop("_own", "_its")
+
+
 def _hubs(posts: DataFrame, num: int, den: int, stars: int) -> DataFrame:
     """(seed, node, n, hub, hub_n): the star of each node and seed. In each list of a shingle and a span of
     sizes (two families of spans, half a span apart, so that no group lies on an edge of both), the node of the least seeded hash is
@@ -298,14 +340,14 @@ def _across(pairs: DataFrame, comps: DataFrame | None, a: str, b: str) -> DataFr
 
 
 def _within(near: DataFrame, comps: DataFrame | None, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between members of one star in different components, from their differences with it.
+    """Links (a, b), a written table, between members of one star in different components, from their differences with it.
 
     Let d be the size of a member's difference. |a ^ b| = d_a + d_b - 2 o, where o is what the differences share. If both
     are linked with the star they're in one component; so let a be one that isn't. Then
     a and b link only if o > num / (den + num) * d_b, and o >= (d_a - c (n_a + n_star)) / (1 + c) for
     c = (den - num) / (den + num). So rare-first prefixes of their differences must meet, where
     enough is left of both. Of members whose changes are their own none do, however large the group is."""
-    open_ = near.groupBy("hub").agg(F.min("ok").alias("all_ok")).filter(~F.col("all_ok")).select("hub")
+    open_ = scratch.keep(near.groupBy("hub").agg(F.min("ok").alias("all_ok")).filter(~F.col("all_ok")).select("hub"))
     members = scratch.keep(_placed(near.join(open_, "hub"), comps, "node", "comp"))
     d = F.size("diff")
     own = F.ceil((d * (den + num) - (den - num) * (F.col("n") + F.col("hub_n"))) / (2 * den))
@@ -330,48 +372,76 @@ def _within(near: DataFrame, comps: DataFrame | None, num: int, den: int, scratc
     one = lambda n: members.select(F.col("node").alias(n), F.col("n").alias(f"n_{n}"), F.col("diff").alias(f"diff_{n}"))
     both = met.join(one("a"), "a").join(one("b"), "b")
     apart = F.size("diff_a") + F.size("diff_b") - 2 * F.size(F.array_intersect("diff_a", "diff_b"))
-    return both.filter((den + num) * apart <= (den - num) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    good = scratch.keep(both.filter((den + num) * apart <= (den - num) * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+    scratch.drop(open_, members, shared, ranked)
+    return good
 
 
-def _crossing(posts: DataFrame, comps: DataFrame | None, near: DataFrame | None, num: int, den: int, scratch: Scratch) -> DataFrame:
+def _crossing(posts: DataFrame, comps: DataFrame | None, near: DataFrame | None, sets: Sets, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b, n_a, n_b) of nodes in different components and of different stars that meet often enough.
-    A star's members stand in blocks; blocks of one star don't meet, nor blocks whose sizes are too far apart."""
+
+    A list's entries stand in blocks of one star, one step of the difference with it and one step of the position. Let
+    a shingle stand at i of n_a in a and at j of n_b in b, and let S and T be their stars, with d_a and d_b what they differ. Then
+    |a ^ b| >= abs(i - j) + abs(n_a - i - n_b + j), as the order is one for all, and |a ^ b| >= |S ^ T| - d_a - d_b. Linked sets
+    differ in at most (den - num) / (den + num) * (n_a + n_b). So no block is opened, and no pair made, that these bounds exclude;
+    they hold at each shingle that a linked pair shares, so that none is lost from its count."""
     own = _placed(posts, comps, "node", "comp")
     if near is None:
-        own = own.withColumn("star", F.col("node"))
+        own = own.withColumns({"star": F.col("node"), "d": F.lit(0)})
     else:
-        own = own.join(near.select("node", F.col("hub").alias("star")), "node", "left").withColumn("star", F.coalesce("star", "node"))
+        own = own.join(near.select("node", F.col("hub").alias("star"), F.size("diff").alias("d")), "node", "left").withColumns({"star": F.coalesce("star", "node"), "d": F.coalesce("d", F.lit(0))})
     own = scratch.keep(own)
+    scratch.drop(posts)
     several = own.groupBy("token").agg(F.min("star").alias("s"), F.max("star").alias("t"), F.min("comp").alias("c"), F.max("comp").alias("k")).filter("s <> t and c <> k").select("token")
-    open_ = scratch.keep(own.join(several, "token"))
-    counts = open_.groupBy("token", "star").agg(F.count("*").alias("c"))
+    steps = [F.floor(20 * F.col("d") / F.col("n")).cast("int").alias("d_step"), F.floor(4 * den * F.col("pos") / ((den - num) * F.col("n") + den)).cast("int").alias("p_step")]
+    # a star's members are dealt to as many parts as its size asks for, in every list, so that no block grows with it
+    crowd = F.lit(1) if near is None else F.coalesce("crowd", F.lit(1))
+    open_ = own.join(several, "token")
+    if near is not None:
+        many = scratch.keep(near.groupBy(F.col("hub").alias("star")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("crowd")).filter("crowd > 1"))
+        open_ = open_.join(many, "star", "left")
+    of = lambda f, *names: [x for c in names for x in (f[0](c).alias(f"{c}_lo"), f[1](c).alias(f"{c}_hi"))]
     blocks = scratch.keep(
-        open_.join(counts, ["token", "star"])
-        .groupBy("token", "star", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK)).alias("part"))
-        .agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.sort_array(F.collect_list(F.struct("n", "node", "need", "comp"))).alias("items"))
-        .drop("part")
+        open_.groupBy("token", "star", *steps, F.pmod(F.xxhash64("node"), crowd).alias("part"))
+        .agg(*of((F.min, F.max), "n", "pos", "d", "comp"), F.sort_array(F.collect_list(F.struct("n", "node", "comp", "pos", "d"))).alias("items"))
+        .withColumn("block", F.monotonically_increasing_id())
     )
-    left = blocks.select("token", *(F.col(c).alias(f"{c}_a") for c in ("star", "lo", "hi", "items")))
-    right = blocks.select("token", *(F.col(c).alias(f"{c}_b") for c in ("star", "lo", "hi", "items")))
-    met = left.join(right, "token").filter((F.col("star_a") < F.col("star_b")) & (den * F.col("hi_a") >= num * F.col("lo_b")) & (den * F.col("hi_b") >= num * F.col("lo_a")))
-    each = met.select(F.explode("items_a").alias("x"), "items_b").select("x", F.explode("items_b").alias("y")).filter((F.col("x.comp") != F.col("y.comp")) & sizes_fit(F.col("x.n"), F.col("y.n"), num, den))
+    scratch.drop(own)
+    heads = blocks.drop("items", "d_step", "p_step", "part", "d_lo")
+    side = lambda x: heads.select("token", *(F.col(c).alias(f"{c}_{x}") for c in heads.columns if c != "token"))
+    most = lambda n_a, n_b: (den - num) * (n_a + n_b)  # noqa: E731  of den + num times what they differ
+    gap = lambda lo_a, hi_a, lo_b, hi_b: F.greatest(lo_a - hi_b, lo_b - hi_a, F.lit(0))
+    c = F.col
+    rest = gap(c("n_lo_a") - c("pos_hi_a"), c("n_hi_a") - c("pos_lo_a"), c("n_lo_b") - c("pos_hi_b"), c("n_hi_b") - c("pos_lo_b"))
+    positions = gap(c("pos_lo_a"), c("pos_hi_a"), c("pos_lo_b"), c("pos_hi_b")) + rest
+    met = side("a").join(side("b"), "token").filter(
+        (c("star_a") < c("star_b")) & (den * c("n_hi_a") >= num * c("n_lo_b")) & (den * c("n_hi_b") >= num * c("n_lo_a"))
+        & ((den + num) * positions <= most(c("n_hi_a"), c("n_hi_b"))) & ~((c("comp_lo_a") == c("comp_hi_b")) & (c("comp_hi_a") == c("comp_lo_b")))
+    )
+    met = scratch.keep(met.select("block_a", "block_b", "star_a", "star_b", "n_hi_a", "n_hi_b", "d_hi_a", "d_hi_b", F.lit(0).alias("far")))
+    if near is not None:
+        hubs = near.select("hub").distinct()
+        stars = scratch.keep(met.select("star_a", "star_b").distinct())
+        grouped = scratch.keep(stars.join(hubs, stars["star_a"] == hubs["hub"], "left_semi").union(stars.join(hubs, stars["star_b"] == hubs["hub"], "left_semi")).distinct())
+        if not grouped.isEmpty():
+            sets.fetch(grouped.select("star_a").union(grouped.select("star_b")))
+            distances = scratch.keep(sets.apart(grouped, "star_a", "star_b").select("star_a", "star_b", (F.size("plus") + F.size("minus")).alias("far")))
+            met = met.drop("far").join(distances, ["star_a", "star_b"], "left").withColumn("far", F.coalesce("far", F.lit(0)))
+            met = scratch.keep(met.filter((den + num) * (c("far") - c("d_hi_a") - c("d_hi_b")) <= most(c("n_hi_a"), c("n_hi_b"))))
+    items = blocks.select("block", "items")
+    opened = dealt(met.select("block_a", "block_b", "far"), items.toDF("block_a", "xs"), "block_a", "block_b", hot_keys(scratch, met, "block_a", HOT))
+    opened = dealt(opened, items.toDF("block_b", "ys"), "block_b", "block_a", hot_keys(scratch, met, "block_b", HOT))
+
+    def may(x, y, far) -> F.Column:
+        i, j, n, m = x["pos"], y["pos"], x["n"], y["n"]
+        bound = F.greatest(F.abs(i - j) + F.abs(n - i - m + j), far - x["d"] - y["d"])
+        return (x["comp"] != y["comp"]) & sizes_fit(n, m, num, den) & ((den + num) * bound <= most(n, m))
+
+    each = opened.select("far", F.explode("xs").alias("x"), "ys").select("x", F.explode(F.filter("ys", lambda y: may(F.col("x"), y, F.col("far")))).alias("y"))
     swap = F.col("x.node") > F.col("y.node")
     pick = lambda f, g: F.when(swap, F.col(g)).otherwise(F.col(f))
+    need = F.least(F.lit(MEETS), F.ceil(num * F.least("x.n", "y.n") / den).cast("int"))
     return (
-        each.select(pick("x.node", "y.node").alias("a"), pick("y.node", "x.node").alias("b"), pick("x.n", "y.n").alias("n_a"), pick("y.n", "x.n").alias("n_b"), F.least("x.need", "y.need").alias("need"))
+        each.select(pick("x.node", "y.node").alias("a"), pick("y.node", "x.node").alias("b"), pick("x.n", "y.n").alias("n_a"), pick("y.n", "x.n").alias("n_b"), need.alias("need"))
         .groupBy("a", "b", "n_a", "n_b", "need").agg(F.count("*").alias("c")).filter("c >= need").drop("c", "need")
     )
-
-
-def _verify(docs, id_col, text_col, keys, pairs, sets, size, num, den, scratch) -> DataFrame:
-    """The linked pairs (a, b), from both sets."""
-    wanted = keys.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node")
-    if sets is not None:
-        wanted = wanted.join(sets.select("node"), "node", "left_anti")
-    wanted = scratch.keep(wanted)
-    whole = sets
-    if not wanted.isEmpty():
-        more = full_sets(docs, id_col, text_col, wanted, size, scratch)
-        whole = more if sets is None else sets.unionByName(more)
-    both = pairs.join(whole.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(whole.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return scratch.keep(both.filter(linked(F.size(F.array_intersect("set_a", "set_b")), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b"))

@@ -75,10 +75,10 @@ def filter_urls(
     )
     # level by level, children are counted by value and then by node, whose own wildcards are set; a node of
     # too few paths has no wildcard below it
-    at, ends = paths.select("_host", "_segs", "_n", F.lit("").alias("_parent")), []
+    at, ends, written = paths.select("_host", "_segs", "_n", F.lit("").alias("_parent")), [], paths
     for d in itertools.count():
         level = at.withColumn("_seg", F.get("_segs", F.lit(d)))
-        hot = hot_keys(scratch, at, ["_host", "_parent"], HOT)
+        hot = None if written.count() <= HOT else hot_keys(scratch, at, ["_host", "_parent"], HOT)
         nodes = (
             level.groupBy("_host", "_parent", "_seg").agg(F.sum("_n").alias("_n"), F.count("*").alias("_paths"))
             .groupBy("_host", "_parent").agg(F.count("*").alias("_kinds"), F.sum("_n").alias("_n"), F.sum("_paths").alias("_paths"))
@@ -89,7 +89,7 @@ def filter_urls(
         done = F.col("_wide").isNull() | (F.size("_segs") == d + 1)
         joined = scratch.keep(dealt(level, nodes, ["_host", "_parent"], "_segs", hot).select("_host", "_segs", "_n", F.concat("_parent", F.lit("/"), shown).alias("_parent"), done.alias("_done")))
         ends.append(joined.filter("_done").select("_host", "_segs", F.col("_parent").alias("_template")))
-        at = joined.filter(~F.col("_done")).drop("_done")
+        at, written = joined.filter(~F.col("_done")).drop("_done"), joined
         if at.isEmpty():
             break
     templates = functools.reduce(DataFrame.unionByName, ends)
@@ -115,7 +115,7 @@ def filter_urls(
     purity = F.when(n > 0, smooth(bad, n)).when(F.col("_bl") > 0, smooth(F.col("_bb"), F.col("_bn"))).when(F.col("_hl") > 0, smooth(F.col("_hb"), F.col("_hn"))).otherwise(0.5)
     judged = pooled.select("_host", "_template", F.round(purity, 6).alias("purity"))
     named = known.select("_host", "_segs", "_template")
-    verdicts = dealt(named, judged, ["_host", "_template"], "_segs", hot_keys(scratch, named, ["_host", "_template"], HOT))
+    verdicts = dealt(named, judged, ["_host", "_template"], "_segs", hot_keys(scratch, known, ["_host", "_template"], HOT))
     return dealt(shaped, verdicts, ["_host", "_segs"], id_col, hot_keys(scratch, shaped, ["_host", "_segs"], HOT)).select(
         id_col, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
         F.coalesce("_said", F.when(F.col("purity") >= reject, "block").otherwise("allow")).alias("verdict"), F.col("_template").alias("template"), "purity",
