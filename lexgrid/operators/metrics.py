@@ -74,7 +74,8 @@ def paired_summary(pairs: DataFrame) -> DataFrame:
 
 def wilcoxon(pairs: DataFrame) -> DataFrame:
     """(metric, slice, w_stat, z): signed ranks with average ranks for ties, without zero differences,
-    tie-corrected, without continuity correction. pairs as in :func:`paired_summary`."""
+    tie-corrected, without continuity correction. pairs as in :func:`paired_summary`. Equal differences are counted first, so that ranks are running
+    sums over a slice's distinct differences, which are few: a metric of ranks has few values, whatever the number of questions."""
     kept = pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.isnan("a") & ~F.isnan("b"))
     both = kept.withColumn("slice", F.explode(F.array(F.lit("all"), F.col("slice")))).withColumn("d", F.round(F.col("b") - F.col("a"), 12)).filter("d <> 0")
     by = both.groupBy("metric", "slice", F.abs("d").alias("m")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
