@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,17 @@ def clear_scratch(spark: SparkSession) -> None:
         delete(spark, _ROOTS.pop())
 
 
+@contextmanager
+def transient(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables of operators that run inside go when the block ends, so what they return must be written in it."""
+    n = len(_ROOTS)
+    try:
+        yield
+    finally:
+        while len(_ROOTS) > n:
+            delete(spark, _ROOTS.pop())
+
+
 class Scratch:
     """Written tables, which cut lineage and survive lost executors."""
 
