@@ -11,6 +11,7 @@ from lexgrid.llm.leaks import find_leaks
 from lexgrid.llm.packing import pack_documents
 from lexgrid.llm.secrets import scan_secrets
 from lexgrid.llm.setjoin import drop_near_copies
+from lexgrid.scratch import transient
 
 #: Documents whose best language has less than this mean probability go; those of two languages stay.
 LEAST_SCORE = 0.35
@@ -84,6 +85,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        with transient(spark):
+            docs = scratch.keep(stage(spark, docs, sf_dir))
         scratch.drop_but(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
