@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrid.llm.common import add_column, first_rows, reduce_rows, texts
+from lexgrid.llm.common import Scratch, add_column, map_rows, reduce_rows, texts
 
 #: ASCII other than letters and digits parts words; other characters belong to them.
 _PART = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Passages of items that windows are compared with at once, so that a task's memory doesn't grow with their number.
 QUERIES = 4096
+#: Rows that the corpus weighs as much as, whatever its size, beside the items' passages in the SVD; all rows are in it.
+WEIGHS = 1000
 HIT = "item:long,start:int,cosine:double,lcs:double,answer:double,kind:string"
 
 
@@ -42,7 +43,8 @@ def passages(ids: np.ndarray, window: int) -> np.ndarray:
     n = max(1, -(-(len(ids) - half) // half)) if len(ids) > half else 1
     flat = np.full((n + 1) * half, -1, np.int32)
     flat[: len(ids)] = ids
-    return np.lib.stride_tricks.sliding_window_view(flat, window)[::half]
+    halves = flat.reshape(-1, half)
+    return np.concatenate((halves[:-1], halves[1:]), axis=1)
 
 
 def _rows(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -50,48 +52,81 @@ def _rows(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.concatenate([table[ids[i : i + 512]].sum(1) for i in range(0, len(ids), 512)]) if len(ids) else np.zeros((0, table.shape[1]), np.float32)
 
 
-def own_gram(bench: Benchmark, idf: np.ndarray, basis: np.ndarray, passage_ids) -> np.ndarray:
-    """Sum over passages a, of unit length, of a (a . basis)."""
+def _blocks(passage_ids, most: int = 64):
+    """The passages in blocks of so many rows, whatever texts they're of."""
+    held, n = [], 0
+    for p in passage_ids:
+        held.append(p)
+        n += len(p)
+        if n >= most:
+            p = np.vstack(held)
+            yield from (p[i : i + most] for i in range(0, n - n % most, most))
+            held, n = [p[n - n % most :]], n % most
+    if n:
+        yield np.vstack(held)
+
+
+def _projected(idf: np.ndarray, basis: np.ndarray, passage_ids):
+    """Of each block of passages its terms, how often each passage has them, (a . basis) of the passages a and their squared lengths."""
     table = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
     squares = np.append(idf**2, 0).astype(np.float32)[:, None]
+    there, place = np.zeros(len(table), bool), np.zeros(len(table), np.int64)
+    for p in _blocks(passage_ids):
+        there[:] = False
+        there[p] = True
+        terms = np.flatnonzero(there)
+        place[terms] = np.arange(len(terms))
+        cells = place[p] + np.arange(len(p))[:, None] * len(terms)
+        counts = np.bincount(cells.ravel(), minlength=len(p) * len(terms)).reshape(len(p), len(terms)).astype(np.float32)
+        yield terms, counts, counts @ table[terms], np.maximum(counts @ squares[terms], 1e-9)
+
+
+def own_gram(bench: Benchmark, idf: np.ndarray, basis: np.ndarray, passage_ids) -> np.ndarray:
+    """Sum over passages a, of unit length, of a (a . basis)."""
     out = np.zeros((len(bench.vocabulary) + 1, basis.shape[1]))
-    for p in passage_ids:
-        y = _rows(p, table) / np.maximum(_rows(p, squares), 1e-9)
-        terms, at = np.unique(p, return_inverse=True)
-        cells = at.reshape(p.shape) + np.arange(len(p))[:, None] * len(terms)
-        counts = np.bincount(cells.ravel(), minlength=len(p) * len(terms)).reshape(len(p), len(terms))
-        out[terms] += counts.T.astype(np.float32) @ y  # row -1 gathers what isn't in the vocabulary
+    for terms, counts, y, square in _projected(idf, basis, passage_ids):
+        out[terms] += counts.T @ (y / square)  # row -1 gathers what isn't in the vocabulary
     return out[:-1] * idf[:, None]
 
 
-def gram_product(rows: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.ndarray, weight: float) -> np.ndarray:
-    """One step of the randomised SVD: each task adds up its own rows' part; the items' own
-    passages count ``weight`` times."""
+def own_inner(bench: Benchmark, idf: np.ndarray, basis: np.ndarray, passage_ids) -> np.ndarray:
+    """The basis times :func:`own_gram`, (k, k) alone: sum over passages a, of unit length, of (a . basis) (a . basis)."""
+    out = np.zeros((basis.shape[1], basis.shape[1]))
+    for _, _, y, square in _projected(idf, basis, passage_ids):
+        out += y.T @ (y / square)
+    return out
+
+
+def gram_product(rows: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.ndarray, weight: float, share: float = 1.0, step=own_gram) -> np.ndarray:
+    """One step of the randomised SVD over the ids of all ``rows``: each task adds up its own rows' part; the items' own
+    passages count ``weight`` times, a row's ``share`` times."""
     k = basis.shape[1]
     data = zlib.compress(basis.astype(np.float32).tobytes(), 1)
 
-    def multiply(batches):
+    def add(batches):
         own = np.frombuffer(zlib.decompress(data), np.float32).reshape(-1, k)
-        out = own_gram(bench, idf, own, (passages(bench.ids(words_of(t)), bench.window) for (text,) in batches for t in text))
+        out = step(bench, idf, own, (passages(np.frombuffer(x, np.int32), bench.window) for (ids,) in batches for x in ids))
         terms = np.flatnonzero(out.any(1))
         return [terms.tolist(), [out[t].tolist() for t in terms]]
 
-    summed = reduce_rows(rows, "term int, v array<double>", multiply).groupBy("term").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(k))).alias("v")).collect()
-    out = weight * own_gram(bench, idf, basis.astype(np.float32), [passages(bench.ids(w), bench.window) for _, w, _ in bench.items])
+    # few parts for each core, so that what is shuffled doesn't grow with the rows
+    rows = rows.coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism)
+    summed = reduce_rows(rows, "term int, v array<double>", add).groupBy("term").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(k))).alias("v")).collect()
+    out = weight * step(bench, idf, basis.astype(np.float32), [passages(bench.ids(w), bench.window) for _, w, _ in bench.items])
     for r in summed:
-        out[r["term"]] += r["v"]
+        out[r["term"]] += share * np.array(r["v"])
     return out
 
 
-def latent_basis(rows: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int, weight: float = 20.0, seed: int = 11, power: int = 1) -> np.ndarray:
+def latent_basis(rows: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int, share: float, weight: float = 20.0, seed: int = 11, power: int = 1) -> np.ndarray:
     """The leading right singular vectors of the TF-IDF passage matrix: a random
     start, products with the distributed matrix, and an eigen-decomposition of a small one."""
     v = len(bench.vocabulary)
     k = min(v, rank + 8)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((v, k)))[0]
     for _ in range(power):
-        q = np.linalg.qr(gram_product(rows, bench, idf, q, weight))[0]
-    b = q.T @ gram_product(rows, bench, idf, q, weight)
+        q = np.linalg.qr(gram_product(rows, bench, idf, q, weight, share))[0]
+    b = gram_product(rows, bench, idf, q, weight, share, own_inner)
     value, vector = np.linalg.eigh((b + b.T) / 2)
     return (q @ vector[:, np.argsort(-value)][:, :rank]).astype(np.float32)
 
@@ -154,26 +189,23 @@ class LeakFinder:
         if not len(self.queries):
             return out
         words = [words_of(t) for t in texts]
-        docs, starts, kept = [], [], []
-        for d, w in enumerate(words):
-            if not w:
-                continue
-            p = passages(self.bench.ids(w), self.bench.window)
-            at = np.flatnonzero(self.idf[p].sum(1) >= self.least)
-            if len(at):
-                docs.append(np.full(len(at), d))
-                starts.append(at * (self.bench.window // 2))
-                kept.append(p[at])
-        if not docs:
+        parts = [passages(self.bench.ids(w), self.bench.window) for w in words if w]
+        if not parts:
             return out
-        docs, starts, kept = np.concatenate(docs), np.concatenate(starts), np.vstack(kept)
+        each = np.array([len(p) for p in parts])
+        docs = np.repeat([d for d, w in enumerate(words) if w], each)
+        starts = (np.arange(len(docs)) - np.repeat(np.cumsum(each) - each, each)) * (self.bench.window // 2)
+        kept = np.concatenate(parts)
+        at = np.flatnonzero(self.idf[kept].sum(1) >= self.least)
+        docs, starts, kept = docs[at], starts[at], kept[at]
         best: dict[tuple[int, int], dict] = {}
         for i in range(0, len(docs), 4096):
             x = _rows(kept[i : i + 4096], self.table)
             norm = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
             for j in range(0, len(self.queries), QUERIES):
                 along = x @ self.queries[j : j + QUERIES].T
-                for r, q in zip(*np.nonzero((along >= self.cosine * norm) & (along >= self.floor[:, j : j + QUERIES])), strict=True):
+                at = np.flatnonzero((along >= self.cosine * norm) & (along >= self.floor[:, j : j + QUERIES]))
+                for r, q in zip(*divmod(at, along.shape[1]), strict=True):
                     d, k = int(docs[i + r]), int(self.owner[j + q])
                     hit = self.check(words[d], int(starts[i + r]), k, float(along[r, q] / norm[r, 0]))
                     if hit and (best.get((d, k)) is None or hit["lcs"] > best[d, k]["lcs"]):
@@ -202,52 +234,53 @@ class LeakFinder:
         return {"item": item, "start": a + first, "cosine": cosine, "lcs": share, "answer": answer, "kind": kind}
 
 
-def make_finder(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, answer_col: str | None, rank: int, fit_rows: int, window: int, cosine: float, share: float, loose: float, answer: float, held: float) -> LeakFinder:
+def make_finder(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, answer_col: str | None, rank: int, window: int, cosine: float, share: float, loose: float, answer: float, held: float) -> LeakFinder:
     columns = [F.col(item_col).cast("long"), F.col(item_text), F.col(answer_col) if answer_col else F.lit(None).cast("string")]
     bench = Benchmark(sorted(((r[0], r[1], r[2]) for r in benchmark.select(*columns).distinct().collect()), key=str), window)
-    vocabulary = bench.vocabulary
-    rows = texts(docs, id_col, text_col)
+    n_terms = len(bench.vocabulary)
+    if not n_terms:
+        return LeakFinder(bench, np.zeros(0, np.float32), np.zeros((0, 1), np.float32), cosine, share, loose, answer, held)
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(map_rows(texts(docs, id_col, text_col).select("_text"), "ids binary", lambda: lambda text: [[bench.ids(words_of(t)).tobytes() for t in text]]))
 
     def count(batches):
-        df: Counter = Counter()
-        n = 0
-        for (text,) in batches:
-            n += len(text)
-            for t in text:
-                df.update(vocabulary.keys() & set(words_of(t)))
-        return [[-1, *(vocabulary[w] for w in df)], [n, *df.values()]]
-
-    counted = {r["term"]: r["n"] for r in reduce_rows(rows.select("_text"), "term int, n long", count).groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        df, n = np.zeros(n_terms + 1, np.int64), 0  # the last is for what isn't in the vocabulary
+        for (ids,) in batches:
+            n += len(ids)
+            for x in ids:
+                df[np.unique(np.frombuffer(x, np.int32))] += 1
+        terms = np.flatnonzero(df[:-1])
+        return [[-1, *terms.tolist()], [n, *df[terms].tolist()]]
+
+    counted = {r["term"]: r["n"] for r in reduce_rows(rows, "term int, n long", count).groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n_docs = counted.pop(-1, 0)
-    df = np.zeros(len(vocabulary))
+    df = np.zeros(n_terms)
     for t, n in counted.items():
         df[t] = n
     idf = np.log((n_docs + 2) / (df + 1)).astype(np.float32) ** 2  # squared, so that rare words tell passages apart
     idf /= max(float(idf.max(initial=0)), 1e-9)
-    ids = first_rows(docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id")), [], [F.xxhash64("_id"), "_id"], fit_rows).distinct()
-    sample = rows.select(F.col(id_col).alias("_id"), "_text").join(F.broadcast(ids), "_id").select("_text")
-    basis = latent_basis(sample, bench, idf, rank) if vocabulary else np.zeros((0, 1), np.float32)
+    basis = latent_basis(rows, bench, idf, rank, min(1.0, WEIGHS / max(n_docs, 1)))
+    scratch.drop(rows)
     return LeakFinder(bench, idf, basis, cosine, share, loose, answer, held)
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None,
-    rank: int = 192, fit_rows: int = 1000, window: int = 32, cosine: float = 0.35, share: float = 0.6, loose: float = 0.45, answer: float = 0.6, held: float = 0.15, name: str = "hits",
+    rank: int = 192, window: int = 32, cosine: float = 0.35, share: float = 0.6, loose: float = 0.45, answer: float = 0.6, held: float = 0.15, name: str = "hits",
 ) -> DataFrame:
     """``docs`` with one more column: for each benchmark item that a row's text holds, the item, the first
     word, the cosine, the share of the item's words in a longest common subsequence, the share of its answer's words, and
     ``copy`` (at least ``share`` of the item in order) or ``paraphrase`` (at least ``loose``, and ``answer``).
 
-    The document frequencies of the benchmark's words come from all rows. The singular vectors of the TF-IDF
-    passages come from a distributed randomised SVD of the passages of ``fit_rows`` rows, by the hash of their id, and of the
-    items, weighed more: the index's one bound. Every window of every text is then searched against all items, without a cap on
+    The document frequencies of the benchmark's words come from all rows, as do the singular vectors of the TF-IDF
+    passages: a distributed randomised SVD of the passages of every row, which weigh as much as ``WEIGHS`` rows together, and of the items, weighed more. Every window of every text is then searched against all items, without a cap on
     candidates: checked is what has ``cosine`` with a passage of an item and ``held`` of its length along it, in a window with
     ``held`` * ``loose`` of the smallest item's weight. Recall at ``share`` and ``loose`` against brute force is tested. What is broadcast grows with the benchmark alone.
 
     Without an answer column the answer is the rarest third of an item's words. Items under 8 words must
     be there whole; items without words never match. Null and empty texts have no hits; repeated rows have
     theirs each; equal items each match; empty tables give no hits; other columns pass as they are."""
-    finder = make_finder(docs, benchmark, id_col, text_col, item_col, item_text, answer_col, rank, fit_rows, window, cosine, share, loose, answer, held)
+    finder = make_finder(docs, benchmark, id_col, text_col, item_col, item_text, answer_col, rank, window, cosine, share, loose, answer, held)
 
     def start():
         return lambda text: finder.hits([t or "" for t in text])

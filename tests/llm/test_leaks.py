@@ -143,3 +143,33 @@ def test_recall_at_own_bounds(seed, n_items, n_docs):
     got = {(i, h["item"]) for i, hits in enumerate(finder.hits(docs)) for h in hits}
     want = {(i, k) for i, d in enumerate(docs) for w in [leaks.words_of(d)] for k in range(len(items)) if any(finder.check(w, at, k, 0.0) for at in range(0, len(w), 16))}
     assert len(want) > n_docs // 3 and got <= want and len(got) >= 0.9 * len(want), (len(got), len(want))
+
+
+def test_every_row_shapes_the_basis(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    draw = lambda n: " ".join(rng.choice(words + ["out", "side"]) for _ in range(n))
+    docs = [(i, draw(rng.randrange(1, 90))) for i in range(1300)] + [(1300, None), (1301, "")]
+    bench = leaks.Benchmark([(k, draw(30), None) for k in range(8)])
+    v = len(bench.vocabulary)
+    idf = np.array([rng.uniform(0.1, 1) for _ in range(v)], np.float32)
+    want = np.zeros((v, v))
+    for weight, all_ in ((1, [leaks.words_of(t or "") for _, t in docs]), (20, [w for _, w, _ in bench.items])):
+        for w in all_:
+            for p in leaks.passages(bench.ids(w), bench.window):
+                a = np.bincount(p[p >= 0], minlength=v) * idf
+                want += weight * np.outer(a, a) / max((idf[p[p >= 0]] ** 2).sum(), 1e-9)
+    q = np.linalg.qr(np.random.default_rng(3).standard_normal((v, 5)))[0]
+    seen = []
+
+    def look(rows, *_):
+        seen.extend([rows.count(), leaks.gram_product(rows, bench, idf, np.eye(v), 20.0), leaks.gram_product(rows, bench, idf, q, 20.0, 1.0, leaks.own_inner)])
+        return np.zeros((v, 1), np.float32)
+
+    monkeypatch.setattr(leaks, "latent_basis", look)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(16)
+    leaks.find_leaks(frame, spark.createDataFrame([(k, b" ".join(w).decode()) for k, w, _ in bench.items], "item_id long, text string"))
+    assert seen[0] == len(docs)
+    assert np.allclose(seen[1], want, rtol=1e-4, atol=1e-3) and np.allclose(seen[2], q.T @ want @ q, rtol=1e-4, atol=1e-3)
