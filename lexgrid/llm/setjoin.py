@@ -168,7 +168,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
 
     1. Equal sets become one node. Nodes post a prefix of their shingles, rarest first.
     2. Stars: a group of similar nodes takes one of them as its star, is compared with it alone, and keeps the differences.
-    3. Members of one star in different components are answered from their differences, which must meet.
+    3. Members of one star in different components are answered from their differences with the centre of its group, which must meet.
     4. All other pairs that meet often enough in prefixes, are of different stars and aren't in one component
        yet are verified from both sets. Lists are skipped where one star or component fills them. The others stand in blocks of one star,
        of like positions and like differences with it; a pair of blocks is skipped by sizes, by positions, and by the
@@ -339,41 +339,73 @@ def _across(pairs: DataFrame, comps: DataFrame | None, a: str, b: str) -> DataFr
     return _placed(_placed(pairs, comps, a, "_ca"), comps, b, "_cb").filter("_ca <> _cb").drop("_ca", "_cb")
 
 
+def _centred(near: DataFrame, comps: DataFrame | None, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(hub, node, n, comp, diff, d, r, joined, top, most), a written table, of the stars with members they don't link with, and of these stars themselves:
+    ``diff`` is what a set doesn't share with its group's centre, which has what most of the group has. As the star is a copy itself, what it
+    alone changed is in all differences with it, and in none with the centre.
+
+    Let d be the size of ``diff`` and r = (den - num) * n - (den + num) * d. Sets with r_a + r_b >= 0 are linked for certain. So all with r + r_top >= 0
+    are linked with ``top``, the one of the largest r, and no other is linked with any without sharing some of ``diff``. ``joined`` marks them, and what the star links with,
+    if it's among them; all those are given one component. ``most`` is the largest r of those that aren't joined. The second table
+    are the links (a, b) with ``top`` that join components."""
+    open_ = scratch.keep(near.groupBy("hub").agg(F.min("ok").alias("all_ok"), F.first("hub_n").alias("hub_n")).filter(~F.col("all_ok")).drop("all_ok"))
+    stars = open_.select("hub", F.col("hub").alias("node"), F.lit(True).alias("ok"), F.col("hub_n").alias("n"), F.array().cast("array<bigint>").alias("diff"))
+    group = near.select("hub", "node", "ok", "n", "diff").join(open_.select("hub"), "hub", "left_semi").unionByName(stars)
+    group = scratch.keep(_placed(group, comps, "node", "comp"))
+    hot = hot_keys(scratch, group, "hub", HOT)
+    sizes = group.groupBy("hub").agg(F.count("*").alias("g"))
+    counts = group.select("hub", F.explode("diff").alias("x")).groupBy("hub", "x").agg(F.count("*").alias("c"))
+    centre = dealt(counts, sizes, "hub", "x", None).filter("2 * c > g").groupBy("hub").agg(F.collect_list("x").alias("centre"))
+    centres = scratch.keep(open_.select("hub").join(centre, "hub", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>"))))
+    moved = dealt(group, centres, "hub", "node", hot).withColumn("diff", F.concat(F.array_except("diff", "centre"), F.array_except("centre", "diff"))).drop("centre")
+    moved = moved.withColumn("d", F.size("diff")).withColumn("r", (den - num) * F.col("n") - (den + num) * F.col("d"))
+    moved = scratch.keep(moved)
+    tops = scratch.keep(moved.groupBy("hub").agg(F.max(F.struct("r", "node", "comp")).alias("top"), F.max(F.when(F.col("node") == F.col("hub"), F.col("r"))).alias("r_star")))
+    least = -F.col("top.r")
+    marked = dealt(moved, tops, "hub", "node", hot).withColumn("joined", (F.col("r") >= least) | (F.col("ok") & (F.col("r_star") >= least)))
+    marked = scratch.keep(marked.withColumn("sure", (F.col("r") >= least) & (F.col("comp") != F.col("top.comp"))).drop("ok", "r_star"))
+    rest = scratch.keep(marked.filter(~F.col("joined")).groupBy("hub").agg(F.max("r").alias("most")))
+    out = scratch.keep(dealt(marked, rest, "hub", "node", hot))
+    sure = scratch.keep(marked.filter("sure").select(F.col("top.node").alias("a"), F.col("node").alias("b")))
+    scratch.drop(open_, group, centres, moved, tops, marked, rest)
+    return out, sure
+
+
 def _within(near: DataFrame, comps: DataFrame | None, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b), a written table, between members of one star in different components, from their differences with it.
-
-    Let d be the size of a member's difference. |a ^ b| = d_a + d_b - 2 o, where o is what the differences share. If both
-    are linked with the star they're in one component; so let a be one that isn't. Then
-    a and b link only if o > num / (den + num) * d_b, and o >= (d_a - c (n_a + n_star)) / (1 + c) for
-    c = (den - num) / (den + num). So rare-first prefixes of their differences must meet, where
-    enough is left of both. Of members whose changes are their own none do, however large the group is."""
-    open_ = scratch.keep(near.groupBy("hub").agg(F.min("ok").alias("all_ok")).filter(~F.col("all_ok")).select("hub"))
-    members = scratch.keep(_placed(near.join(open_, "hub"), comps, "node", "comp"))
-    d = F.size("diff")
-    own = F.ceil((d * (den + num) - (den - num) * (F.col("n") + F.col("hub_n"))) / (2 * den))
-    each = members.select("hub", "node", "ok", "comp", "n", d.alias("d"), own.alias("own"), F.explode("diff").alias("x"))
+    """Links (a, b), a written table, between members of one star in different components, from their differences with the group's centre.
+
+    Let d be the size of a member's difference and r as in :func:`_centred`. |a ^ b| = d_a + d_b - 2 o, where o is what the differences share, so that linked sets
+    have 2 (den + num) o >= -r_a - r_b, and o >= d - (den - num) / num * n of either. One of a pair, a, isn't joined with the top. So rare-first
+    prefixes of their differences must meet, where enough is left of both. Of members whose changes are their own none do, however large the
+    group is."""
+    members, sure = _centred(near, comps, num, den, scratch)
+    # all that are joined are one component
+    members = members.withColumn("comp", F.when(F.col("joined"), F.col("top.comp")).otherwise(F.col("comp")))
+    alone = F.ceil(F.col("d") - (den - num) * F.col("n") / num - F.lit(1e-6))
+    over = lambda other: F.greatest(alone, F.ceil((-F.col("r") - other) / (2 * (den + num)) - F.lit(1e-6)))
+    kept = ["hub", "node", "joined", "comp", "r", "as_a", "as_b"]
+    each = members.withColumns({"as_a": over(F.col("top.r")), "as_b": over(F.col("most"))}).select(*kept, F.explode("diff").alias("x"))
     often = each.groupBy("hub", "x").agg(F.count("*").alias("c")).filter("c > 1")
     shared = scratch.keep(each.join(often, ["hub", "x"]))
     # what one member alone has comes first in its prefix and meets nobody
-    ranked = scratch.keep(shared.groupBy("hub", "node", "ok", "comp", "n", "d", "own").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("s")))
+    ranked = scratch.keep(shared.groupBy(*kept).agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("s")))
 
-    def posted(need, rows: DataFrame, side: str) -> DataFrame:
-        kept = F.greatest(F.lit(0), F.size("s") - F.greatest(F.lit(1), need) + 1).cast("int")
-        names = {"node": side, "comp": f"c_{side}", "n": f"n_{side}", "d": f"d_{side}"}
+    def posted(need: str, rows: DataFrame, side: str) -> DataFrame:
+        kept = F.greatest(F.lit(0), F.size("s") - F.greatest(F.lit(1), F.col(need)) + 1).cast("int")
+        names = {"node": side, "comp": f"c_{side}", "r": f"r_{side}"}
         each = rows.select("hub", *(F.col(c).alias(n) for c, n in names.items()), F.size("s").alias("_k"), F.posexplode(F.slice("s", F.lit(1), kept)).alias("_p", "y"))
         return each.select("hub", *names.values(), F.col("y.x").alias("x"), (F.col("_k") - F.col("_p")).alias(f"rest_{side}"))
 
-    right = posted(F.ceil(num * F.col("d") / (den + num)), ranked, "b")
-    left = posted(F.col("own"), ranked.filter(~F.col("ok")), "a")
+    right = posted("as_b", ranked, "b")
+    left = posted("as_a", ranked.filter(~F.col("joined")), "a")
     # at the first element that they share, what is left of either must do
-    least = (F.col("d_a") + F.col("d_b")) * (den + num) - (den - num) * (F.col("n_a") + F.col("n_b"))
-    may = (F.col("c_a") != F.col("c_b")) & (2 * (den + num) * F.least("rest_a", "rest_b") >= least)
-    met = left.join(right, ["hub", "x"]).filter(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one = lambda n: members.select(F.col("node").alias(n), F.col("n").alias(f"n_{n}"), F.col("diff").alias(f"diff_{n}"))
-    both = met.join(one("a"), "a").join(one("b"), "b")
-    apart = F.size("diff_a") + F.size("diff_b") - 2 * F.size(F.array_intersect("diff_a", "diff_b"))
-    good = scratch.keep(both.filter((den + num) * apart <= (den - num) * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
-    scratch.drop(open_, members, shared, ranked)
+    may = (F.col("c_a") != F.col("c_b")) & (2 * (den + num) * F.least("rest_a", "rest_b") >= -F.col("r_a") - F.col("r_b"))
+    met = left.join(right, ["hub", "x"]).filter(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "hub").distinct()
+    one = lambda n: members.select("hub", F.col("node").alias(n), F.col("r").alias(f"r_{n}"), F.col("diff").alias(f"diff_{n}"))
+    both = met.join(one("a"), ["hub", "a"]).join(one("b"), ["hub", "b"])
+    good = both.filter(2 * (den + num) * F.size(F.array_intersect("diff_a", "diff_b")) >= -F.col("r_a") - F.col("r_b")).select("a", "b")
+    good = scratch.keep(good.unionByName(sure))
+    scratch.drop(shared, ranked)
     return good
 
 

@@ -110,3 +110,33 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in entries.op7_ngram_jaccard_join(spark, sf).collect()), key=str)
     assert got == brute(rows, 3, 90, 100)
+
+
+@pytest.mark.parametrize("size, num, den, changes", [(3, 90, 100, (3, 4, 5)), (5, 80, 100, (3, 4, 5))])
+def test_own_changes_meet_nobody(spark, monkeypatch, size, num, den, changes):
+    """A group of copies, each with changes of its own, which no star links with: whatever the star changed, hardly a pair is made; a pair far from all others is found."""
+    rng = random.Random(size)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        for at in rng.sample(range(150), rng.choice(changes)):
+            w[at] = f"z{i}x{at}"
+        rows.append((i, " ".join(w)))
+        if i % 40 == 0:
+            for at in range(i // 40, 150, 15):
+                w[at] = f"y{i}x{at}"
+            rows += [(1000 + i, " ".join(w)), (2000 + i, " ".join([*w[:-1], "end"]))]
+    made = []
+    kind = type(spark.range(1))
+    joined = kind.join
+
+    def join(self, other, on=None, how=None):
+        out = joined(self, other, on, how)
+        if isinstance(on, list) and on == ["hub", "x"] and "rest_a" in self.columns:
+            made.append((joined(self, other, on).count(), len(rows)))
+        return out
+
+    monkeypatch.setattr(kind, "join", join)
+    assert run(spark, rows, size, num, den) == brute(rows, size, num, den)
+    assert made and all(n <= 4 * m for n, m in made), made
