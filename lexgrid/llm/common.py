@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,6 +34,15 @@ def cool() -> None:
     _WARM.clear()
 
 
+def give_back() -> None:
+    """Return freed memory to the system when a task ends, as the worker stays while others work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def warm(key: str, make: Callable[[], object]):
     """What a worker keeps for its next tasks: of one operator at a time."""
     if key not in _WARM:
@@ -54,6 +64,8 @@ def map_rows(frame: DataFrame, ddl: str, start: Callable[[], Callable[..., list]
         for batch in parts(batches):
             out = step(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
+        step = batch = out = None
+        give_back()
 
     return frame.mapInArrow(run, schema)
 
@@ -154,5 +166,7 @@ def add_column(frame: DataFrame, inputs: list[str], name: str, ddl: str, start:
         for batch in parts(batches):
             out = pa.array(step(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs)), arrow.field(len(arrow) - 1).type)
             yield pa.RecordBatch.from_arrays([*batch.columns, out], schema=arrow)
+        step = batch = out = None
+        give_back()
 
     return frame.mapInArrow(run, schema)

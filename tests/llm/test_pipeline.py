@@ -69,3 +69,17 @@ def test_packed(stages):
 
 def test_run(spark):
     assert corpus_pipeline.ORACLE_SQL is None and corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_leaks_are_fitted_on_every_row(spark, monkeypatch):
+    import numpy as np
+
+    seen = []
+
+    def look(rows, bench, *_):
+        seen.append(rows.count())
+        return np.zeros((len(bench.vocabulary), 1), np.float32)
+
+    monkeypatch.setattr(leaks, "latent_basis", look)
+    docs = spark.range(1300).selectExpr("id as doc_id", "concat('the of ', id) as text")
+    assert corpus_pipeline.drop_leaks(spark, docs, SF).count() == 1300 and seen == [1300]
