@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexgrid.llm.common import Scratch, indexed, map_rows, texts, warm
 from lexgrid.llm.tokens import PLAIN
 
-#: Words and pieces whose ids a worker remembers; past this it forgets them.
+#: Words and pieces whose ids a worker remembers; past this it forgets those that it met in one lookup alone.
 MEMORY = 600_000
 #: Fixed value: the splitting pattern of the vocabulary, on lower-cased words.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -47,26 +47,47 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.mark = {m: self.library.encode(m, add_special_tokens=False).ids[0] for m in _MARKS}
-        self._forget()
+        self._clear()
 
     def _forget(self) -> None:
+        """All but words that were looked up again since the last time, half of MEMORY at most."""
+        again = np.flatnonzero(self.hit[: len(self.known)])[: MEMORY // 2]
+        words = list(self.known)
+        flat, sizes = self._gather(again)
+        self._clear()
+        self._add(flat, sizes, [words[i] for i in again.tolist()])
+
+    def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.start, self.size, self.hit = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these entries in a row, and how many each has."""
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return self.pool[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)], size
+
     def _learn(self, words: list[str]) -> None:
         """Words of letters alone are pieces, so their ids are those of all in one go, parted after
-        each end; a word with one mark behind it has the word's ids and the mark's."""
-        marked, rest, plain = [], [], {}
+        each end; a word with one mark behind it has the word's ids and the mark's; any other has its pieces'."""
+        marked, rest, whole, plain, others = [], [], [], {}, {}
+        pieces: list[list[str]] = []
         for w in words:
             if w.isalpha():
                 plain[w] = None
             elif w[-1] in _MARKS and w[:-1].isalpha():
                 marked.append(w)
                 plain[w[:-1]] = None
+            elif any(s in w for s in self.specials):
+                whole.append(w)
             else:
-                rest.append(w)
+                own = PATTERN.findall(w.replace("Σ", "σ").lower())
+                for p in own:
+                    (plain if p.isalpha() else others)[p] = None
+                if own != [w]:
+                    rest.append(w)
+                    pieces.append(own)
         known = self.known
         new = [w for w in plain if w not in known]
         for a in range(0, len(new), 5000):
@@ -76,7 +97,7 @@ class WordEncoder:
             if len(last) == len(some):
                 self._add(flat, np.diff(last, prepend=0), some)
             else:  # a word that isn't a piece after all
-                self._add(*self._mixed(some), some)
+                self._each(some)
         if marked:
             at = np.fromiter((known[w[:-1]] for w in marked), np.int64, len(marked))
             sizes = self.size[at] + 1
@@ -84,30 +105,22 @@ class WordEncoder:
             flat = self.pool[np.minimum(np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(int(ends[-1])), len(self.pool) - 1)]
             flat[ends - 1] = [self.mark[w[-1]] for w in marked]
             self._add(flat, sizes, marked)
+        self._each([w for w in chain(others, whole) if w not in known])
         if rest:
-            self._add(*self._mixed(rest), rest)
+            flat, sizes = self._gather(np.fromiter(map(known.__getitem__, chain.from_iterable(pieces)), np.int64))
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(own) for own in pieces])]
+            self._add(flat, np.diff(ends, prepend=0), rest)
 
-    def _mixed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        pieces, encode = self.pieces, self.library.encode
-        ids = []
-        for w in words:
-            if any(s in w for s in self.specials):
-                ids.append(encode(w, add_special_tokens=False).ids)
-                continue
-            own: list[int] = []
-            for p in PATTERN.findall(w.replace("Σ", "σ").lower()):
-                if p not in pieces:
-                    pieces[p] = encode(p, add_special_tokens=False).ids
-                own += pieces[p]
-            ids.append(own)
+    def _each(self, words: list[str]) -> None:
+        ids = [self.library.encode(w, add_special_tokens=False).ids for w in words]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+        self._add(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes, words)
 
     def _add(self, flat: np.ndarray, sizes: np.ndarray, words: list[str]) -> None:
         n, top = len(self.known), self.used + len(flat)
         if n + len(words) > len(self.start):
             grow = np.zeros(n + 2 * len(words), np.int64)
-            self.start, self.size = np.append(self.start, grow), np.append(self.size, grow)
+            self.start, self.size, self.hit = np.append(self.start, grow), np.append(self.size, grow), np.append(self.hit, grow > 0)
         if top > len(self.pool):
             self.pool = np.append(self.pool, np.zeros(top, np.uint32))
         self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
@@ -134,13 +147,13 @@ class WordEncoder:
                 self._forget()
             known = self.known
             at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+            self.hit[at[at >= 0]] = True
             if len(new := np.flatnonzero(at < 0)):
                 missed = [words[k] for k in new.tolist()]
                 self._learn(list(dict.fromkeys(missed)))
                 at[new] = np.fromiter(map(known.__getitem__, missed), np.int64, len(missed))
-            size = self.size[at]
+            flat, size = self._gather(at)
             ends = np.cumsum(size)
-            flat = self.pool[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
             last = np.concatenate([[0], ends])[np.cumsum(counts, dtype=np.int64)] if own else []
             first = 0
             for k, b in zip(own, last, strict=True):

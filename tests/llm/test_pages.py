@@ -279,3 +279,20 @@ def test_knapsack():
         best = max(sum(x * w[k] for x, k in zip(a, present)) for a in itertools.product(range(3), repeat=len(present)) if sum(x * k for x, k in zip(a, present)) <= 12)
         p = packing.bounded_knapsack(w, counts, 12)
         assert abs(sum(n * w[k] for k, n in p.items()) - best) < 1e-9 and all(n <= 2 for n in p.values())
+
+
+def test_words_met_again_are_kept(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    monkeypatch.setattr(packing, "MEMORY", 400)
+    learned = []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: (learned.extend(words), learn(words)))
+    often = ["the", "tokens,", "it's", "a$$$", "x<|endoftext|>y", "7th.", "été"]
+    for k in range(40):
+        texts = [" ".join([*often, *(f"new{a}{b}{chr(97 + k % 26)}{chr(97 + k // 26)}%%" for a in "abcdef" for b in "ghijkl")])]
+        assert [x.tolist() for x in encoder.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.known) <= 400 + 150
+    assert all(learned.count(w) == 1 for w in often)
