@@ -37,13 +37,18 @@ class Benchmark:
         return np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
 
 
-def passages(ids: np.ndarray, window: int) -> np.ndarray:
-    """(passages, window) ids of overlapping windows by half a window; -1 fills the last."""
+def halved(ids: np.ndarray, window: int) -> np.ndarray:
+    """(passages + 1, window // 2) ids; a passage is a half and the next, and -1 fills the last."""
     half = window // 2
     n = max(1, -(-(len(ids) - half) // half)) if len(ids) > half else 1
     flat = np.full((n + 1) * half, -1, np.int32)
     flat[: len(ids)] = ids
-    halves = flat.reshape(-1, half)
+    return flat.reshape(-1, half)
+
+
+def passages(ids: np.ndarray, window: int) -> np.ndarray:
+    """(passages, window) ids of overlapping windows by half a window; -1 fills the last."""
+    halves = halved(ids, window)
     return np.concatenate((halves[:-1], halves[1:]), axis=1)
 
 
@@ -120,15 +125,19 @@ def gram_product(rows: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.n
 
 def latent_basis(rows: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int, share: float, weight: float = 20.0, seed: int = 11, power: int = 1) -> np.ndarray:
     """The leading right singular vectors of the TF-IDF passage matrix: a random
-    start, products with the distributed matrix, and an eigen-decomposition of a small one."""
+    start, ``power`` products with the distributed matrix, and the singular vectors of its Nystroem form."""
     v = len(bench.vocabulary)
     k = min(v, rank + 8)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((v, k)))[0]
-    for _ in range(power):
+    for _ in range(power - 1):
         q = np.linalg.qr(gram_product(rows, bench, idf, q, weight, share))[0]
-    b = gram_product(rows, bench, idf, q, weight, share, own_inner)
-    value, vector = np.linalg.eigh((b + b.T) / 2)
-    return (q @ vector[:, np.argsort(-value)][:, :rank]).astype(np.float32)
+    y = gram_product(rows, bench, idf, q, weight, share)
+    # as the matrix is positive semi-definite, y (q . y)^-1 y^T stands for it, and no second product is needed
+    inner = q.T @ y
+    value, vector = np.linalg.eigh((inner + inner.T) / 2)
+    some = value > 1e-6 * max(float(value.max(initial=0)), 1e-30)
+    left = np.linalg.svd(y @ (vector[:, some] / np.sqrt(value[some])), full_matrices=False)[0]
+    return left[:, :rank].astype(np.float32)
 
 
 def lcs(a_masks: dict[bytes, int], n: int, b: list[bytes]) -> int:
@@ -189,18 +198,23 @@ class LeakFinder:
         if not len(self.queries):
             return out
         words = [words_of(t) for t in texts]
-        parts = [passages(self.bench.ids(w), self.bench.window) for w in words if w]
+        parts = [halved(self.bench.ids(w), self.bench.window) for w in words if w]
         if not parts:
             return out
-        each = np.array([len(p) for p in parts])
+        each = np.array([len(p) - 1 for p in parts])
         docs = np.repeat([d for d, w in enumerate(words) if w], each)
         starts = (np.arange(len(docs)) - np.repeat(np.cumsum(each) - each, each)) * (self.bench.window // 2)
-        kept = np.concatenate(parts)
-        at = np.flatnonzero(self.idf[kept].sum(1) >= self.least)
-        docs, starts, kept = docs[at], starts[at], kept[at]
+        halves = np.concatenate(parts)
+        first = np.arange(len(docs)) + np.repeat(np.arange(len(parts)), each)  # a passage is this half and the next
+        mass = self.idf[halves].sum(1)
+        at = np.flatnonzero(mass[first] + mass[first + 1] >= self.least)
+        docs, starts, first = docs[at], starts[at], first[at]
         best: dict[tuple[int, int], dict] = {}
         for i in range(0, len(docs), 4096):
-            x = _rows(kept[i : i + 4096], self.table)
+            own = first[i : i + 4096]
+            both = np.union1d(own, own + 1)  # each half is summed once, for both of its passages
+            sums = _rows(halves[both], self.table)
+            x = sums[np.searchsorted(both, own)] + sums[np.searchsorted(both, own + 1)]
             norm = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
             for j in range(0, len(self.queries), QUERIES):
                 along = x @ self.queries[j : j + QUERIES].T

@@ -173,3 +173,40 @@ def test_every_row_shapes_the_basis(spark, monkeypatch):
     leaks.find_leaks(frame, spark.createDataFrame([(k, b" ".join(w).decode()) for k, w, _ in bench.items], "item_id long, text string"))
     assert seen[0] == len(docs)
     assert np.allclose(seen[1], want, rtol=1e-4, atol=1e-3) and np.allclose(seen[2], q.T @ want @ q, rtol=1e-4, atol=1e-3)
+
+
+def test_basis_takes_one_pass(spark, monkeypatch):
+    """One product with all rows gives a basis that holds as much of the matrix as that of two does."""
+    import numpy as np
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    draw = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [draw(rng.randrange(1, 120)) for _ in range(400)]
+    bench = leaks.Benchmark([(k, draw(40), None) for k in range(30)])
+    v = len(bench.vocabulary)
+    idf = np.array([rng.uniform(0.05, 1) ** 2 for _ in range(v)], np.float32)
+    own = [leaks.passages(bench.ids(w), bench.window) for _, w, _ in bench.items]
+    all_ = [leaks.passages(bench.ids(leaks.words_of(t)), bench.window) for t in texts]
+    gram = lambda q: leaks.own_gram(bench, idf, q.astype(np.float32), all_) * 0.5 + 20 * leaks.own_gram(bench, idf, q.astype(np.float32), own)
+    product, calls = leaks.gram_product, []
+    monkeypatch.setattr(leaks, "gram_product", lambda *a: (calls.append(1), product(*a))[1])
+    rows = spark.createDataFrame([(bytearray(bench.ids(leaks.words_of(t)).tobytes()),) for t in texts], "ids binary")
+    basis = leaks.latent_basis(rows, bench, idf, 40, 0.5)
+    assert len(calls) == 1 and basis.shape == (v, 40) and np.allclose(basis.T @ basis, np.eye(40), atol=1e-4)
+    q = np.linalg.qr(gram(np.linalg.qr(np.random.default_rng(11).standard_normal((v, 48)))[0]))[0]
+    b = q.T @ gram(q)
+    two = np.sort(np.linalg.eigvalsh((b + b.T) / 2))[::-1][:40].sum()
+    assert np.trace(basis.T @ gram(basis)) >= 0.97 * two
+
+
+def test_halves_are_summed_once(monkeypatch):
+    import numpy as np
+
+    bench = leaks.Benchmark([(0, " ".join(f"w{i}" for i in range(40)), None)])
+    v = len(bench.vocabulary)
+    finder = leaks.LeakFinder(bench, np.ones(v, np.float32), np.eye(v, dtype=np.float32), 0.35, 0.6, 0.45, 0.6, 0.15)
+    read, rows = [], leaks._rows
+    monkeypatch.setattr(leaks, "_rows", lambda ids, table: (read.append(ids.size), rows(ids, table))[1])
+    text = " ".join(["w1 w2"] * 500 + [f"w{i}" for i in range(40)] + ["none"] * 3)
+    assert [h["start"] for h in finder.hits(["", text, "w3"])[1]] and sum(read) <= 1.1 * len(text.split()) + 64
