@@ -20,6 +20,8 @@ MEMORY = 300_000
 SMALL = 24_000_000
 #: Entries of a block of an index list, and rows of one key that go to one task.
 BLOCK, HOT = 128, 256
+#: Steps that the distances of a group's members from its centre are told apart by.
+STEPS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -162,6 +164,16 @@ def sizes_fit(n_a, n_b, num: int, den: int) -> F.Column:
     return (den * F.least(n_a, n_b) >= num * F.greatest(n_a, n_b))
 
 
+def reach(num: int, den: int) -> int:
+    """The most, of den times a member's size, that it and its star may differ to be of one group.
+
+    A set's own shingles are the rarest and fill its prefix first. So if two variants of one text meet MEETS times in that text's shingles, neither has more than
+    (den - num) / den of its size of its own, and if words were replaced, neither lacks more of the text than that; so they differ in four times that at most.
+    A lower limit would leave the outermost variants as stars of their own, which meet each other and the group in every shingle of the text.
+    Half of the size is allowed at least, and the size at most; no result depends on it."""
+    return min(max(4 * (den - num), -(-den // 2)), den)
+
+
 def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", stars: int = 3, with_hash: bool = False) -> DataFrame:
     """(id, n_shingles, component_id[, text_hash]) of every row: sets of ``size`` words link where den * intersection
     >= num * union, and a component's id is the smallest id that links reach.
@@ -249,8 +261,8 @@ def _links(docs, id_col, text_col, nodes, posts, size, num, den, stars, scratch)
             sets.fetch(best.select("node").union(best.select("hub")))
         seen = sets.apart(pairs, "node", "hub", once=True)
         ok = linked(F.col("n") - F.size("plus"), F.col("n"), F.col("hub_n"), num, den)
-        if s == 0:  # what a member and its star don't share, if that is at most half of the member's size
-            seen = scratch.keep(seen.select("node", "hub", "n", "hub_n", ok.alias("ok"), F.concat("plus", "minus").alias("diff")).withColumn("diff", F.when(2 * F.size("diff") <= F.col("n"), F.col("diff"))))
+        if s == 0:  # what a member and its star don't share, if that is no more than variants of one text may have that meet in its shingles
+            seen = scratch.keep(seen.select("node", "hub", "n", "hub_n", ok.alias("ok"), F.concat("plus", "minus").alias("diff")).withColumn("diff", F.when(den * F.size("diff") <= reach(num, den) * F.col("n"), F.col("diff"))))
             near = scratch.keep(seen.filter(F.col("diff").isNotNull()))
             ok = F.col("ok")
         good = scratch.keep(seen.filter(ok).select(F.col("node").alias("a"), F.col("hub").alias("b")))
@@ -339,36 +351,38 @@ def _across(pairs: DataFrame, comps: DataFrame | None, a: str, b: str) -> DataFr
     return _placed(_placed(pairs, comps, a, "_ca"), comps, b, "_cb").filter("_ca <> _cb").drop("_ca", "_cb")
 
 
-def _centred(near: DataFrame, comps: DataFrame | None, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(hub, node, n, comp, diff, d, r, joined, top, most), a written table, of the stars with members they don't link with, and of these stars themselves:
+def _centred(near: DataFrame, comps: DataFrame | None, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hub, node, n, comp, diff, d, r, step, joined, top), a written table, of the stars with members they don't link with, and of these stars themselves:
     ``diff`` is what a set doesn't share with its group's centre, which has what most of the group has. As the star is a copy itself, what it
     alone changed is in all differences with it, and in none with the centre.
 
     Let d be the size of ``diff`` and r = (den - num) * n - (den + num) * d. Sets with r_a + r_b >= 0 are linked for certain. So all with r + r_top >= 0
     are linked with ``top``, the one of the largest r, and no other is linked with any without sharing some of ``diff``. ``joined`` marks them, and what the star links with,
-    if it's among them; all those are given one component. ``most`` is the largest r of those that aren't joined. The second table
-    are the links (a, b) with ``top`` that join components."""
+    if it's among them; all those are given one component. ``step`` is d as a share of n, in steps. The second table, (hub, steps), has for each step the largest r, ``high``,
+    and that of those that aren't joined, ``open``. The third are the links (a, b) with ``top`` that join components."""
     open_ = scratch.keep(near.groupBy("hub").agg(F.min("ok").alias("all_ok"), F.first("hub_n").alias("hub_n")).filter(~F.col("all_ok")).drop("all_ok"))
     stars = open_.select("hub", F.col("hub").alias("node"), F.lit(True).alias("ok"), F.col("hub_n").alias("n"), F.array().cast("array<bigint>").alias("diff"))
     group = near.select("hub", "node", "ok", "n", "diff").join(open_.select("hub"), "hub", "left_semi").unionByName(stars)
     group = scratch.keep(_placed(group, comps, "node", "comp"))
     hot = hot_keys(scratch, group, "hub", HOT)
     sizes = group.groupBy("hub").agg(F.count("*").alias("g"))
-    counts = group.select("hub", F.explode("diff").alias("x")).groupBy("hub", "x").agg(F.count("*").alias("c"))
+    # a group has two sets at least, so what one alone has is in no centre
+    counts = group.select("hub", F.explode("diff").alias("x")).groupBy("hub", "x").agg(F.count("*").alias("c")).filter("c > 1")
     centre = dealt(counts, sizes, "hub", "x", None).filter("2 * c > g").groupBy("hub").agg(F.collect_list("x").alias("centre"))
     centres = scratch.keep(open_.select("hub").join(centre, "hub", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>"))))
     moved = dealt(group, centres, "hub", "node", hot).withColumn("diff", F.concat(F.array_except("diff", "centre"), F.array_except("centre", "diff"))).drop("centre")
     moved = moved.withColumn("d", F.size("diff")).withColumn("r", (den - num) * F.col("n") - (den + num) * F.col("d"))
-    moved = scratch.keep(moved)
+    moved = scratch.keep(moved.withColumn("step", F.least(F.floor(STEPS * F.col("d") / F.col("n")), F.lit(STEPS)).cast("int")))
     tops = scratch.keep(moved.groupBy("hub").agg(F.max(F.struct("r", "node", "comp")).alias("top"), F.max(F.when(F.col("node") == F.col("hub"), F.col("r"))).alias("r_star")))
     least = -F.col("top.r")
     marked = dealt(moved, tops, "hub", "node", hot).withColumn("joined", (F.col("r") >= least) | (F.col("ok") & (F.col("r_star") >= least)))
     marked = scratch.keep(marked.withColumn("sure", (F.col("r") >= least) & (F.col("comp") != F.col("top.comp"))).drop("ok", "r_star"))
-    rest = scratch.keep(marked.filter(~F.col("joined")).groupBy("hub").agg(F.max("r").alias("most")))
-    out = scratch.keep(dealt(marked, rest, "hub", "node", hot))
+    each = marked.groupBy("hub", "step").agg(F.max("r").alias("high"), F.max(F.when(~F.col("joined"), F.col("r"))).alias("open"))
+    steps = scratch.keep(each.groupBy("hub").agg(F.collect_list(F.struct("step", "high", "open")).alias("steps")).filter(F.exists("steps", lambda c: c["open"].isNotNull())))
+    out = scratch.keep(dealt(marked, steps.select("hub"), "hub", "node", hot))
     sure = scratch.keep(marked.filter("sure").select(F.col("top.node").alias("a"), F.col("node").alias("b")))
-    scratch.drop(open_, group, centres, moved, tops, marked, rest)
-    return out, sure
+    scratch.drop(open_, group, centres, moved, tops, marked)
+    return out, steps, sure
 
 
 def _within(near: DataFrame, comps: DataFrame | None, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -376,28 +390,33 @@ def _within(near: DataFrame, comps: DataFrame | None, num: int, den: int, scratc
 
     Let d be the size of a member's difference and r as in :func:`_centred`. |a ^ b| = d_a + d_b - 2 o, where o is what the differences share, so that linked sets
     have 2 (den + num) o >= -r_a - r_b, and o >= d - (den - num) / num * n of either. One of a pair, a, isn't joined with the top. So rare-first
-    prefixes of their differences must meet, where enough is left of both. Of members whose changes are their own none do, however large the
+    prefixes of their differences must meet, where enough is left of both. A prefix is as long as the largest r of the other's step asks for, so a member far from the
+    centre, which others may lack the same shingles of, posts none for the steps too far from its own. Of members whose changes are their own none meet, however large the
     group is."""
-    members, sure = _centred(near, comps, num, den, scratch)
+    members, steps, sure = _centred(near, comps, num, den, scratch)
     # all that are joined are one component
     members = members.withColumn("comp", F.when(F.col("joined"), F.col("top.comp")).otherwise(F.col("comp")))
     alone = F.ceil(F.col("d") - (den - num) * F.col("n") / num - F.lit(1e-6))
-    over = lambda other: F.greatest(alone, F.ceil((-F.col("r") - other) / (2 * (den + num)) - F.lit(1e-6)))
-    kept = ["hub", "node", "joined", "comp", "r", "as_a", "as_b"]
-    each = members.withColumns({"as_a": over(F.col("top.r")), "as_b": over(F.col("most"))}).select(*kept, F.explode("diff").alias("x"))
+    kept = ["hub", "node", "joined", "comp", "r", "step", "alone"]
+    each = members.withColumn("alone", alone).select(*kept, F.explode("diff").alias("x"))
     often = each.groupBy("hub", "x").agg(F.count("*").alias("c")).filter("c > 1")
     shared = scratch.keep(each.join(often, ["hub", "x"]))
     # what one member alone has comes first in its prefix and meets nobody
-    ranked = scratch.keep(shared.groupBy(*kept).agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("s")))
+    listed = scratch.keep(shared.groupBy(*kept).agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("s")))
 
-    def posted(need: str, rows: DataFrame, side: str) -> DataFrame:
-        kept = F.greatest(F.lit(0), F.size("s") - F.greatest(F.lit(1), F.col(need)) + 1).cast("int")
-        names = {"node": side, "comp": f"c_{side}", "r": f"r_{side}"}
-        each = rows.select("hub", *(F.col(c).alias(n) for c, n in names.items()), F.size("s").alias("_k"), F.posexplode(F.slice("s", F.lit(1), kept)).alias("_p", "y"))
-        return each.select("hub", *names.values(), F.col("y.x").alias("x"), (F.col("_k") - F.col("_p")).alias(f"rest_{side}"))
+    ranked = scratch.keep(dealt(listed, steps, "hub", "node", hot_keys(scratch, listed, "hub", HOT)))
 
-    right = posted("as_b", ranked, "b")
-    left = posted("as_a", ranked.filter(~F.col("joined")), "a")
+    def posted(rows: DataFrame, side: str, most: str) -> DataFrame:
+        need = F.greatest(F.lit(1), F.col("alone"), F.ceil((-F.col("r") - F.col(f"o.{most}")) / (2 * (den + num)) - F.lit(1e-6)))
+        names = {"node": side, "comp": f"c_{side}", "r": f"r_{side}"}
+        each = rows.select("hub", *names, "step", "s", "alone", F.explode(F.filter("steps", lambda c: c[most].isNotNull())).alias("o"))
+        each = each.withColumn("_n", (F.size("s") - need + 1).cast("int")).filter("_n > 0")
+        each = each.select("hub", *(F.col(c).alias(n) for c, n in names.items()), "step", F.col("o.step").alias("other"), F.size("s").alias("_k"), F.posexplode(F.slice("s", F.lit(1), F.col("_n"))).alias("_p", "y"))
+        a, b = ("step", "other") if side == "a" else ("other", "step")
+        return each.select("hub", *names.values(), F.struct(F.col("y.x").alias("x"), F.col(a).alias("a"), F.col(b).alias("b")).alias("x"), (F.col("_k") - F.col("_p")).alias(f"rest_{side}"))
+
+    right = posted(ranked, "b", "open")
+    left = posted(ranked.filter(~F.col("joined")), "a", "high")
     # at the first element that they share, what is left of either must do
     may = (F.col("c_a") != F.col("c_b")) & (2 * (den + num) * F.least("rest_a", "rest_b") >= -F.col("r_a") - F.col("r_b"))
     met = left.join(right, ["hub", "x"]).filter(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "hub").distinct()
@@ -405,7 +424,7 @@ def _within(near: DataFrame, comps: DataFrame | None, num: int, den: int, scratc
     both = met.join(one("a"), ["hub", "a"]).join(one("b"), ["hub", "b"])
     good = both.filter(2 * (den + num) * F.size(F.array_intersect("diff_a", "diff_b")) >= -F.col("r_a") - F.col("r_b")).select("a", "b")
     good = scratch.keep(good.unionByName(sure))
-    scratch.drop(shared, ranked)
+    scratch.drop(shared, listed, ranked)
     return good
 
 

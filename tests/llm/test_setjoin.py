@@ -140,3 +140,30 @@ def test_own_changes_meet_nobody(spark, monkeypatch, size, num, den, changes):
     monkeypatch.setattr(kind, "join", join)
     assert run(spark, rows, size, num, den) == brute(rows, size, num, den)
     assert made and all(n <= 4 * m for n, m in made), made
+
+
+@pytest.mark.parametrize("n", [100, 200])
+def test_outermost_variants_are_of_the_group(spark, monkeypatch, n):
+    """Variants of one text, each with five changes of its own, link with nobody, but meet in the rest of their prefixes: they are one star's group, so that hardly a pair of
+    blocks is made of them; a linked pair far from all others is found."""
+    rng = random.Random(n)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in range(rng.randrange(30), 150, 30):
+            w[at] = f"z{i}x{at}"
+        rows.append((i, " ".join(w)))
+        if i % 40 == 0:
+            rows.append((1000 + i, " ".join([*w[:-1], "end"])))
+    made = []
+    hot = setjoin.hot_keys
+
+    def hot_keys(scratch, rows, keys, most):
+        if keys == "block_a":
+            made.append(rows.count())
+        return hot(scratch, rows, keys, most)
+
+    monkeypatch.setattr(setjoin, "hot_keys", hot_keys)
+    assert run(spark, rows, 5, 80, 100) == brute(rows, 5, 80, 100)
+    assert made and all(m <= 4 * len(rows) for m in made), made
