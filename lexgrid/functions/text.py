@@ -154,9 +154,11 @@ _WINDOWS = {i: bytes([i]).decode("cp1252") for i in range(128, 160) if bytes([i]
 _REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
 
 
-def unescape(c: Column) -> Column:
+def unescape(c: Column, ended: bool = False) -> Column:
     """All character references decoded, decimal, hexadecimal and named; others stay as they are. The text is cut at
-    its references, which are looked up in one constant map, and joined again; a text without any is left alone."""
+    its references, which are looked up in one constant map, and joined again; a text without any is left alone.
+    ``ended``: those without a semicolon stay too."""
+    reference = _REFERENCE.replace(";?", ";") if ended else _REFERENCE
     names = F.from_json(F.lit(_NAMED), "map<string,string>")
     old = F.create_map(*(F.lit(x) for kv in _WINDOWS.items() for x in kv))
 
@@ -167,16 +169,16 @@ def unescape(c: Column) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
         return F.when(ref.startswith("#"), F.coalesce(F.element_at(old, code), char)).otherwise(F.coalesce(F.element_at(names, ref), F.concat(F.lit("&"), ref)))
 
-    refs = F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(1)), decoded)
-    pieces = F.split(c, _REFERENCE, -1)
+    refs = F.transform(F.regexp_extract_all(c, F.lit(reference), F.lit(1)), decoded)
+    pieces = F.split(c, reference, -1)
     joined = F.array_join(F.zip_with(pieces, refs, lambda piece, ref: F.concat(piece, F.coalesce(ref, F.lit("")))), "")
     return F.when(c.contains("&"), joined).otherwise(c)
 
 
-def html_text(page: Column) -> Column:
-    """The text nodes one a line, without script, style and head, in built-in functions."""
+def html_text(page: Column, ended: bool = False) -> Column:
+    """The text nodes one a line, without script, style and head, in built-in functions. ``ended`` as in :func:`unescape`."""
     bare = F.regexp_replace(page, r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<!doctype[^>]*>", "")
-    return unescape(F.regexp_replace(F.regexp_replace(bare, r"(<[^>]*>)+", "\n"), r"^\n+|\n+$", ""))
+    return unescape(F.regexp_replace(F.regexp_replace(bare, r"(<[^>]*>)+", "\n"), r"^\n+|\n+$", ""), ended)
 
 
 def references_json(c: Column) -> Column:

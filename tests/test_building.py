@@ -4,11 +4,13 @@ import html
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lexgrid.functions import text as X
 from lexgrid.operators import corpus, experiment, graph, metrics, retrieval
+from lexgrid.plans import catalog
 from lexgrid.sources import tables
 
 
@@ -24,6 +26,17 @@ def test_html_text_decodes(spark):
     assert spark.createDataFrame([(page,)], "h string").select(X.html_text(F.col("h")).alias("t")).first().t == "Café ’x’\nb"
 
 
+def test_html_text_query_keeps_cut_references(spark, tmp_path):
+    """As its SQL has it: a reference that a title's end cut stays; the function itself decodes it, as browsers do."""
+    pages = [(0, "<html><body><h1>a&amp;&amp</h1><p>b &copy; &lt;&quot</p></body></html>"), (1, "<p>&am</p>&amp;lt;"), (2, "<p>&amp</p>&ltx;&#39;&#39</p>"), (3, "")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(catalog.SQL["html_text"]).fetchall()
+    assert sorted(tuple(r) for r in catalog.html_text(spark, str(tmp_path)).collect()) == sorted(want)
+    assert spark.createDataFrame([(pages[0][1],)], "h string").select(X.html_text(F.col("h")).alias("t")).first().t == 'a&&\nb © <"'
+
+
 def test_stubs_keep_rows_whole(spark):
     rows = spark.createDataFrame([("r", "old", None, 1), ("r", None, "new", 2), ("q", "t", "c", 1)], "id string, title string, category string, pos int")
     got = {r.id: (r.title, r.category) for r in graph.with_stubs(rows, spark.createDataFrame([("r",), ("s",), ("s",)], "id string"), order="pos").collect()}
