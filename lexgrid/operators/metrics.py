@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,13 +12,52 @@ from pyspark.sql import functions as F
 K_VALUES = (1, 3, 5, 10, 20)
 
 
-def score_rows(retrieved: DataFrame, gold: DataFrame, questions: DataFrame, keys: tuple[str, ...] = ("query_id",), ks: tuple[int, ...] = K_VALUES) -> DataFrame:
+@dataclass(frozen=True)
+class Groups:
+    """Gold by groups: a query's gold ids are all others that share a group with it. queries (query_id, group), rows (id, group). The pairs,
+    which grow with the square of a group's size, are never made: hits are marked by the groups of both ends, and gold ids are counted by groups."""
+
+    queries: DataFrame
+    rows: DataFrame
+
+    def sets(self) -> tuple[DataFrame, DataFrame]:
+        """The groups of each query and of each id."""
+        own = F.collect_set("group")
+        return self.queries.groupBy("query_id").agg(own.alias("asked")), self.rows.filter(F.col("id").isNotNull()).groupBy("id").agg(own.alias("has"))
+
+    def mark(self, retrieved: DataFrame) -> DataFrame:
+        asked, has = self.sets()
+        both = retrieved.join(asked, "query_id", "left").join(has, "id", "left")
+        return both.withColumn("_hit", F.when((F.col("query_id") != F.col("id")) & F.arrays_overlap("asked", "has"), True)).drop("asked", "has")
+
+    def count(self) -> DataFrame:
+        """Ids of equal sets of groups are counted together, so that ids of several groups count once."""
+        asked, has = self.sets()
+        sizes = has.groupBy(F.array_sort("has").alias("has")).agg(F.count("*").alias("n"))
+        itself = F.coalesce(F.arrays_overlap("asked", "own"), F.lit(False)).cast("int")
+        groups = asked.join(has.select(F.col("id").alias("query_id"), F.col("has").alias("own")), "query_id", "left").select("query_id", itself.alias("itself"), F.explode("asked").alias("group"))
+        met = groups.join(sizes.withColumn("group", F.explode("has")), "group").select("query_id", "itself", "has", "n").distinct()
+        return met.groupBy("query_id").agg((F.sum("n") - F.max("itself")).alias("n_gold")).filter("n_gold > 0")
+
+
+def _mark(retrieved: DataFrame, gold: DataFrame | Groups) -> DataFrame:
+    """``retrieved`` with ``_hit``, true or null."""
+    if isinstance(gold, Groups):
+        return gold.mark(retrieved)
+    return retrieved.join(gold.select("query_id", "id").distinct().withColumn("_hit", F.lit(True)), ["query_id", "id"], "left")
+
+
+def _n_gold(gold: DataFrame | Groups) -> DataFrame:
+    """(query_id, n_gold) of the queries that have gold."""
+    return gold.count() if isinstance(gold, Groups) else gold.select("query_id", "id").distinct().groupBy("query_id").agg(F.count("*").alias("n_gold"))
+
+
+def score_rows(retrieved: DataFrame, gold: DataFrame | Groups, questions: DataFrame, keys: tuple[str, ...] = ("query_id",), ks: tuple[int, ...] = K_VALUES) -> DataFrame:
     """A row for each question (``questions`` has the keys): mrr, and recall, precision and hit at each k. retrieved (keys, id, rank from 1),
-    gold (query_id, id). Repeated hits count for precision, once for recall; without gold or hits all are 0."""
+    gold (query_id, id) or groups. Repeated hits count for precision, once for recall; without gold or hits all are 0."""
     keys = list(keys)
-    own = gold.select("query_id", "id").distinct()
-    n_gold = own.groupBy("query_id").agg(F.count("*").alias("n_gold"))
-    marked = retrieved.join(own.withColumn("_hit", F.lit(True)), ["query_id", "id"], "left")
+    n_gold = _n_gold(gold)
+    marked = _mark(retrieved, gold)
     hit = F.col("_hit").isNotNull()
     sums: list[Column] = [F.min(F.when(hit, F.col("rank"))).alias("first"), F.max("rank").alias("n")]
     for k in ks:
@@ -39,13 +79,13 @@ def long_scores(scores: DataFrame, keys: list[str], names: list[str]) -> DataFra
     return scores.unpivot(keys, names, "metric", "value")
 
 
-def per_question(runs: DataFrame, gold: DataFrame, scores: DataFrame | None = None, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
+def per_question(runs: DataFrame, gold: DataFrame | Groups, scores: DataFrame | None = None, ks: tuple[int, ...] = K_VALUES) -> DataFrame:
     """The long table of a report: a row for each question of each system, with the numbers of gold and retrieved ids, the latency and
-    all metrics. runs (system, query_id, latency_s, retrieved array), both systems' rows under one another; gold (query_id, id). ``scores`` of a judge
+    all metrics. runs (system, query_id, latency_s, retrieved array), both systems' rows under one another; gold (query_id, id) or groups. ``scores`` of a judge
     (system, query_id, columns) are joined by key, as ``judge_`` columns, null where there are none."""
     hits = runs.select("system", "query_id", F.posexplode("retrieved").alias("pos", "id")).withColumn("rank", F.col("pos") + 1)
     measured = score_rows(hits, gold, runs, ("system", "query_id"), ks)
-    n_gold = gold.distinct().groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    n_gold = _n_gold(gold)
     facts = runs.select("system", "query_id", "latency_s", F.size("retrieved").alias("n_retrieved")).join(n_gold, "query_id", "left")
     out = facts.withColumn("n_gold", F.coalesce("n_gold", F.lit(0))).join(measured, ["system", "query_id"])
     if scores is not None:

@@ -86,6 +86,48 @@ def test_metrics(spark, gold, hits, want):
     assert {k: round(row[k], 9) for k in want} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_gold_by_groups(spark):
+    """As by pairs: ids of several groups, repeated rows, groups of one, null groups, and queries that are no rows of their group."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice([1, 2, 3, None])) for i in range(40)] + [(i, rng.randrange(1, 4)) for i in range(0, 40, 3)] + [(7, 2), (7, 2), (90, 9), (None, 1)]
+    asked = [(i, g) for i, g in rows if i is not None and (i % 4 == 0 or i == 90)] + [(200, 1), (201, 8), (202, None)]
+    pairs = [(q, i) for q, g in asked for i, h in rows if g is not None and g == h and i is not None and q != i]
+    hits = [(q, rng.choice([*range(40), 90, 999]), k) for q in {q for q, _ in asked} for k in range(1, 22)] + [(4, 4, 22)]
+    r, p = spark.createDataFrame(hits, "query_id long, id long, rank int"), spark.createDataFrame(pairs, "query_id long, id long")
+    g = metrics.Groups(spark.createDataFrame(asked, "query_id long, group int"), spark.createDataFrame(rows, "id long, group int"))
+    questions = r.select("query_id")
+    want, got = (sorted(tuple(x) for x in metrics.score_rows(r, own, questions).collect()) for own in (p, g))
+    assert got == want and len(got) == len({q for q, _ in asked}) and sum(x[1] for x in got) > 0
+    runs = r.groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("retrieved")).select(F.lit("s").alias("system"), "query_id", F.lit(0.5).alias("latency_s"), "retrieved")
+    want, got = (sorted(tuple(x) for x in metrics.per_question(runs, own).collect()) for own in (p, g))
+    assert got == want
+
+
+def test_gold_pairs_are_never_made(spark, tmp_path):
+    """No join of the metrics makes more rows than the hits and the rows that it reads, however large a label is."""
+    from lexgrid.plans import catalog
+
+    n = 3000
+    spark.range(n).selectExpr("id AS vec_id", "array(float(id % 7), float(1)) AS embedding", "1 AS label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    hits = spark.range(0, n, 50).selectExpr("id AS query_id", "id + 1 AS id", "1 AS rank")
+    out = metrics.score_rows(hits, catalog.gold(spark, str(tmp_path)), hits.select("query_id"))
+    assert {(r.mrr, r.recall_1) for r in out.collect()} == {(1.0, 1 / (n - 1))}
+    made = []
+
+    def walk(p):
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if p.getClass().getSimpleName().endswith("QueryStageExec"):
+            return walk(p.plan())
+        if "Join" in p.nodeName():
+            made.append(p.metrics().apply("numOutputRows").value())
+        for i in range(p.children().size()):
+            walk(p.children().apply(i))
+
+    walk(out._jdf.queryExecution().executedPlan())
+    assert made and max(made) <= n, made
+
+
 def test_best_alpha(spark):
     rows = [(0.0, 0.5, 0.1), (0.1, 0.6, 0.2), (0.2, 0.6, 0.2), (0.3, 0.6000000001, 0.1)]
     assert metrics.best_alpha(spark.createDataFrame(rows, "alpha double, recall_5 double, mrr double")).first().alpha == 0.1
