@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -118,8 +119,10 @@ def graph_candidates(seeds: DataFrame, reach: DataFrame, degree: DataFrame, quer
 
 
 def rerank(candidates: DataFrame, alphas: list[float], budget: int) -> DataFrame:
-    """(alpha, query_id, id, score, rank) for every alpha in one pass."""
-    scored = candidates.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas)))).withColumn("score", F.round(F.col("sim") + F.col("alpha") * F.col("boost"), 9))
+    """(alpha, query_id, id, score, rank) for every alpha in one job. Candidates, a written table if there are several alphas, are read once for
+    each, so that a task sorts its rows of one alpha and not as many times more."""
+    score = F.round(F.col("sim") + F.col("alpha") * F.col("boost"), 9)
+    scored = reduce(DataFrame.unionByName, (candidates.withColumn("alpha", F.lit(float(a))).select("alpha", "query_id", "id", score.alias("score")) for a in alphas))
     w = Window.partitionBy("alpha", "query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= budget).select("alpha", "query_id", "id", "score", "rank")
 

@@ -71,6 +71,21 @@ def test_rerank(spark):
     assert [r.id for r in sorted(ranked, key=lambda r: r["rank"]) if r.alpha == 0.0] == [10, 12]
 
 
+def test_rerank_sorts_one_alpha_at_a_time(spark, tmp_path):
+    """More alphas make more tasks, not larger ones: no candidate is repeated for all alphas before a sort."""
+    n = 4000
+    spark.range(n).selectExpr("id % 8 AS query_id", "id", "double(id % 97) AS sim", "double(id % 89) AS boost").coalesce(1).write.parquet(str(tmp_path / "c"))
+    alphas = [0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 1.0]
+    out = retrieval.rerank(spark.read.parquet(str(tmp_path / "c")), alphas, 5)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.alpha, r.query_id, r["rank"]): r.id for r in out.collect()}
+    for a in alphas:
+        for q in range(8):
+            want = sorted(range(q, n, 8), key=lambda i: (-round(i % 97 + a * (i % 89), 9), i))[:5]
+            assert [got[a, q, k] for k in range(1, 6)] == want
+    assert len(got) == 9 * 8 * 5
+
+
 @pytest.mark.parametrize(
     "gold, hits, want",
     [
